@@ -85,6 +85,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as ``mix`` takes it, 0 times or more; copies are equal rows.
+
+    Rows with equal id, source and size all get the largest number of copies among them.
+    """
+    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    own = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
+    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
