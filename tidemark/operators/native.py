@@ -25,7 +25,7 @@ def finite(c: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     """a / b with a signed infinity for a division by zero, and NULL for 0 / 0 and infinity / infinity."""
-    q = F.when(b != 0, a / b).when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    q = F.when(b != 0, a / b).when((b == 0) & (a > 0), F.lit(INF)).when((b == 0) & (a < 0), F.lit(-INF))
     return F.nullif(q, F.lit(float("nan")))
 
 
