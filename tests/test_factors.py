@@ -52,3 +52,13 @@ def test_symbols_don_t_depend_on_each_other(bars, bank):
     both = planner.compute(bars, some).where("symbol = 'X'").toPandas().sort_values("seq")["v"]
     alone = planner.compute(bars.where("symbol = 'X'"), some).toPandas().sort_values("seq")["v"]
     assert np.array_equal(both, alone)
+
+
+@pytest.mark.parametrize("strategy", ["native", "arrow"])
+@pytest.mark.parametrize("rows", [50, 333, 10_000])
+def test_slices_equal_the_whole(bars, bank, strategy, rows):
+    some = {k: bank[k] for k in ("f_0001", "f_0039", "f_0057", "f_0064")} | ({"f_0059": bank["f_0059"]} if strategy == "arrow" else {})
+    whole, cut = (planner.compute(bars, some, raw=True, strategy=strategy, slice_rows=s).toPandas().sort_values(["symbol", "seq"]).reset_index(drop=True) for s in (None, rows))
+    assert len(cut) == len(whole) and cut["seq"].tolist() == whole["seq"].tolist()
+    for k in some:
+        assert np.allclose(whole[k].to_numpy(float), cut[k].to_numpy(float), rtol=1e-6, atol=1e-8, equal_nan=True), k

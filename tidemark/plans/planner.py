@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import arrow, native
 from tidemark.plans.expr import Expr
+from tidemark.plans.slicing import sliced
 
 #: Windows beyond which frames that Spark recomputes from scratch for each row lose to one pass of kernels.
 LONG = 60
@@ -24,27 +25,38 @@ def choose(exprs: Mapping[str, Expr]) -> str:
 
 
 def compute(
-    df: DataFrame, exprs: Mapping[str, Expr], keys: list[str] | None = None, order: list[str] | None = None, raw: bool = False, strategy: str | None = None, ready: bool = False, allow_missing: bool = False
-) -> DataFrame:
+    df: DataFrame, exprs: Mapping[str, Expr], keys: list[str] | None = None, order: list[str] | None = None, raw: bool = False, strategy: str | None = None, ready: bool = False, allow_missing: bool = False,
+    slice_rows: int | None = None,
+) -> DataFrame:
     """Keys, order and one column for each expression.
 
     The order must be total within a key, else rows with equal order may swap. Values are cleaned (missing and
     infinite ones are 0) unless raw. ready adds, for each expression, whether its value was there.
+
+    slice_rows deals a key's rows to tasks of so many rows each, with the rows that values look back on in front,
+    so that one very long series doesn't sit in one task. Averages that recur reach back further than a double
+    can tell (see ``slicing``).
     """
     keys, order = keys or ["symbol"], order or ["ts", "seq"]
     if missing := [i for i in arrow.inputs_of(exprs) if i not in df.columns]:
         if not allow_missing:
             raise ValueError(f"inputs are missing: {', '.join(missing)}")
         df = df.withColumns({i: F.lit(None).cast("double") for i in missing})
-    strategy = strategy or choose(exprs)
+    strategy, groups = strategy or choose(exprs), keys
+    if slice_rows:
+        df = sliced(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), exprs, keys, order, slice_rows)
+        groups = [*keys, "_slice"]
+    extra = ["_lead"] if slice_rows else []
     if strategy == "native":
         if any(n.op == "ema" for e in exprs.values() for n in e.nodes()):
             raise ValueError("ema is recursive and has no window frame; use the arrow strategy")
-        out = native.lower(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), exprs, keys, order).select(*keys, *order, *exprs)
+        out = native.lower(df.select(*dict.fromkeys([*groups, *order, *arrow.inputs_of(exprs), *extra])), exprs, groups, order).select(*groups, *order, *extra, *exprs)
     elif strategy == "arrow":
-        out = arrow.lower(df, exprs, keys, order)
+        out = arrow.lower(df, exprs, groups, order, extra)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
+    if slice_rows:
+        out = out.where(~F.col("_lead")).drop("_lead", "_slice")
     flags = {f"{n}_ready": F.col(n).isNotNull() for n in exprs} if ready else {}
     out = out.withColumns(flags) if flags else out
     return out if raw else out.withColumns({n: native.clean(F.col(n)) for n in exprs})

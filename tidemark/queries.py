@@ -176,6 +176,10 @@ s as (select symbol, coalesce(bid[1], 0) as b1, coalesce(ask[1], 0) as a1, coale
 select symbol, round(coalesce(case when b1 + a1 <> 0 then (b1 - a1) / (b1 + a1) end, 0), {DIGITS}) + 0.0 as book_l1_imbalance,
 round(coalesce(case when b5 + a5 <> 0 then (b5 - a5) / (b5 + a5) end, 0), {DIGITS}) + 0.0 as book_l5_imbalance from s"""
 
+_SLICED = {"v": ts_zscore(ma(x, 20), 30)}
+QUERIES["sliced_series"] = lambda spark, d: _rounded(planner.compute(series(spark, d), _SLICED, slice_rows=500), ["v"])
+ORACLES["sliced_series"] = oracle.select("series", _SLICED, ctes=SERIES, digits=DIGITS)
+
 _STREAMED = {"v": (x - ma(x, 20)) / ts_std(x, 20)}
 QUERIES["stream_replay"] = lambda spark, d: _rounded(replay(series(spark, d), _STREAMED, batches=3), ["v"])
 ORACLES["stream_replay"] = oracle.select("series", _STREAMED, ctes=SERIES, digits=DIGITS)

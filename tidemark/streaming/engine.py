@@ -15,24 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.arrow import evaluate, inputs_of
 from tidemark.plans.expr import Expr
-
-#: Rows that a recursive average looks back, in spans: (1 - 2 / (t + 1)) ** (20 * t) is below 1e-17.
-EMA_SPANS = 20
-
-
-def lookback(e: Expr) -> int:
-    """Rows before a bar that its value depends on; for ema those whose weight shows in a double."""
-    below = max((lookback(a) for a in e.args), default=0)
-    if e.op == "ema":
-        return below + (EMA_SPANS + 1) * e.window
-    if e.op in ("delay", "ts_diff", "ts_pct"):
-        return below + e.window
-    if e.op == "autocorr_double":
-        return below + 2 * e.window + e.lag
-    if e.op == "ts_mad":
-        return below + 2 * e.window
-    return below + (e.window + e.lag if e.rolling else 0)
-
+from tidemark.plans.slicing import lookback
 
 def stream_factors(bars: DataFrame, exprs: Mapping[str, Expr], raw: bool = False) -> DataFrame:
     """symbol, ts, seq and a column for each expression, for a streaming DataFrame of bars.
