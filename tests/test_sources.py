@@ -120,3 +120,28 @@ def test_streaming_bars(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("bars5").count() >= 3
     assert stream_factors(source, {"v": ma(close, 3)}).isStreaming
+
+
+def test_engine(spark, tmp_path):
+    from tidemark.streaming.facade import Engine, SignalEngine
+
+    e = SignalEngine(["A"], {"m": ma(close, 3)})
+    for bad in (lambda: e.add_symbol("A"), lambda: e.add_factor("m", close), lambda: SignalEngine(["A"]).run_batch(simulate(spark, ["A"], 3))):
+        with pytest.raises(ValueError):
+            bad()
+    assert len(SignalEngine.of_group("okx_perp", ["A"]).factor_ids) == 60 and e.warmup() == 3
+    bars = simulate(spark, ["A", "B"], 40, seed=9)
+    bars.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(bars.schema).parquet(f"{tmp_path}/in")
+    run = Engine(spark, e, f"{tmp_path}/engine", window=10)
+    run.start(source)
+    run.wait()
+    assert run.bars_pushed() == 40 and run.bar_count("B") == 40 and run.get_data().count() == 20
+    last = e.latest(bars).first()
+    assert run.get_factor_outputs().first()["m"] == pytest.approx(last["m"]) and run.get_factor_outputs(["B"]).count() == 0
+    assert sorted(r.bar_index for r in run.signal_rows().collect()) == [38, 39, 40]
+    run.reset()
+    run.start(source)
+    run.wait()
+    assert run.bars_pushed() == 40
+    run.stop()
