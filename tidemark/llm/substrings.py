@@ -67,7 +67,9 @@ def contexts(raw: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarra
     end = stops[np.searchsorted(stops, start, side="right")] + length - 1
     at = (low[start] & _U(0xFFFFFFFF)).astype(np.int64)
     size = end - start
-    c = mixed(mixed(mixed(whole[start]) + whole[np.minimum(start + 64, end - 64)]) * _U(0x9E3779B97F4A7C15) + whole[end - 64] + (size * 256 + (at - start)).astype(np.uint64))
+    c = (size * 256 + (at - start)).astype(np.uint64)
+    for k in range(0, 2 * length - ANCHOR, 64):  # stretches of 64 that cover the context
+        c = mixed(c * _U(0x9E3779B97F4A7C15) + whole[np.minimum(start + k, end - 64)])
     return own[at], c, start, end
 
 
@@ -76,9 +78,11 @@ def _rows(parts: list[int], kind: int, data: list[bytes]) -> pa.RecordBatch:
 
 
 def _deal(rows: np.ndarray, part: np.ndarray, kind: int) -> pa.RecordBatch:
+    if not len(part):
+        return _rows([], kind, [])
     order = np.argsort(part, kind="stable")
     part, rows = part[order], rows[order]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     ends = np.append(at[1:], len(part)).tolist()
     return _rows(part[at].tolist(), kind, [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)])
 
