@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 #: Dimensions of the hashed byte pairs and of the statistics of a text.
-PAIRS, STATS = 512, 16
+PAIRS, STATS = 512, 18
 #: The classifier is fitted on at most so many trusted positives and so many unlabelled texts.
 POSITIVES, UNLABELLED = 6000, 9000
 _PAIR = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.uint16)
@@ -53,6 +54,8 @@ def features(text: str) -> np.ndarray:
         np.log1p(n / n_lines) / 10,
         n / n_words / 20,
         len(zlib.compress(text.encode(), 1)) / n,
+        sum(map(eq, words, words[1:])) / n_words * 10,
+        min(1.0, n_words / 50),
     ]
     return out
 
@@ -69,7 +72,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, seed: int = 0, decay: float = 1e-3, rate: float = 0.02) -> Classifier:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, seed: int = 0, decay: float = 3e-3, rate: float = 0.02) -> Classifier:
     """Minimise the non-negative unbiased risk of a logistic score by Adam.
 
     risk = prior * E+[loss(+)] + max(0, Eu[loss(-)] - prior * E+[loss(-)]). Where the second part of a batch
@@ -83,8 +86,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     d = p.shape[1] + 1
     p, u = (np.hstack([a, np.ones((len(a), 1))]).astype(np.float32) for a in (p, u))
     w, m, v, step = np.zeros(d), np.zeros(d), np.zeros(d), 0
-    batches = max(1, len(u) // 512)
-    for _ in range(epochs):
+    batches, mean_w, kept = max(1, len(u) // 512), np.zeros(d), 0
+    for epoch in range(epochs):
         pp, uu = np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches)
         for i, j in zip(pp, uu, strict=True):
             if not len(i) or not len(j):
@@ -99,6 +102,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if 2 * epoch >= epochs:  # the result is the mean of the second half's steps
+                mean_w, kept = mean_w + w, kept + 1
+    w = mean_w / max(1, kept)
     return Classifier(mean, scale, w[:-1], float(w[-1]))
 
 
