@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 #: Words in a shingle, and hashes in a fingerprint.
-SHINGLE, K = 5, 128
+SHINGLE, K = 5, 256
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE) -> Column:
