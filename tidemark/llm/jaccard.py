@@ -2,13 +2,17 @@
 
 All shingles are set in one global order, rare ones first. A set of n shingles whose partners share at least
 o = ceil(percent * n / 100) of them has, for any l, the l-prefix of its first n - o + l shingles, and two linked
-sets share at least l shingles of their l-prefixes. l = 1 is the usual prefix filter. A set whose prefix meets
-frequent shingles gets a longer one, with l shared shingles asked for before a pair is verified; two sets with
-different l are held to the smaller. Sets equal as a whole are one class from the start.
-
-Links are found in two rounds. In the first, each class of a shingle's group keeps only the first partner that
-passes the filters, so a group of m alike classes costs m pairs. Verified links give components. The second
-round takes the remaining pairs, but none within a component: what it adds is all that could still change them.
+sets share at least l shingles of their l-prefixes. l = 1 is the usual prefix filter. Each set picks its own l: a
+third of n - o, or more where a longer prefix costs less, since fewer candidates come through it; two sets with
+different l are held to the smaller. Only pairs that share so many prefix shingles are verified. Sets equal as
+a whole are one class from the start.
+
+Links are found in three rounds. The first pairs each class of a shingle's group with the group's first class
+only, so a group of m alike classes costs m pairs; the second keeps a few partners of each class; the third
+takes all pairs. After each round the verified links give components, and the next one pairs no classes within a
+component: what the last round adds is all that could still change them. Pairs are counted shingle by shingle,
+while a shingle's group is small. A class in larger groups takes along the list of its shingles of this kind, and
+such a group counts them all at once, at a pair's first common one, and hands on what may pass.
 """
 
 from __future__ import annotations
@@ -26,10 +30,14 @@ from tidemark.llm.shingles import mixed, shingle_sets
 
 #: The frequency sketch has 2**SKETCH_BITS counters, at any size of input; it decides costs, never results.
 SKETCH_BITS = 21
-#: Tried numbers of shared prefix shingles, and the cost of one more candidate against one more posting.
-MATCHES, VERIFY = (1, 2, 4, 8, 16, 32, 64), 30.0
-#: Larger groups are dealt in blocks of so many classes, a task for each pair of blocks.
-BLOCK = 1024
+#: Multiples of the least number of shared prefix shingles that a set tries, and the cost of one more candidate
+#: against one more posting.
+MULTIPLES, VERIFY = (1, 2, 4, 8, 16), 60.0
+#: A shingle's group is large beyond so many classes; still larger ones are dealt in blocks of so many classes, a
+#: task for each pair of blocks.
+LARGE, BLOCK = 128, 2048
+#: Partners that the second round keeps for each class.
+FEW = 32
 #: Bits of the Bloom filter that spares the shuffle sets which no candidate pair needs.
 BLOOM_BITS = 26
 _ROWS = "part int, kind int, data binary"
@@ -37,7 +45,8 @@ _POSTING = np.dtype([("t", "<u8"), ("c", "<u8")])
 _CLASS = np.dtype([("c", "<u8"), ("n", "<i8"), ("l", "<i8")])
 _LIVE = np.dtype([("c", "<u8"), ("t", "<u8"), ("m", "<i8")])
 _LABEL = np.dtype([("c", "<u8"), ("label", "<u8")])
-_MEMBER = np.dtype([("t", "<u8"), ("pair", "<i8"), ("own", "<i8"), ("c", "<u8"), ("label", "<u8"), ("n", "<i8"), ("l", "<i8"), ("size", "<i8")])
+_MEMBER = np.dtype([("t", "<u8"), ("pair", "<i8"), ("own", "<i8"), ("c", "<u8"), ("label", "<u8"), ("n", "<i8"), ("l", "<i8"), ("cold", "<i8"), ("m", "<i8"), ("size", "<i8")])
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("count", "<i4"), ("need", "<i4")])
 
 
 def class_of(s: np.ndarray) -> int:
@@ -45,7 +54,7 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") or 1 if len(s) else 0
 
 
-def _sets(batch: pa.RecordBatch, words: int, step: int = 256) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch, words: int, step: int = 128) -> Iterator[np.ndarray]:
     texts = batch.column(1)
     for k in range(0, len(texts), step):
         yield from shingle_sets([(t or "").encode() for t in texts.slice(k, step).to_pylist()], words)
@@ -57,9 +66,11 @@ def _rows(parts: list[int], kinds: list[int], data: list[bytes]) -> pa.RecordBat
 
 def _dealt(kind: int, part: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
     """One row of bytes for each part."""
+    if not len(part):
+        return [], [], []
     order = np.argsort(part, kind="stable")
     part, rows = part[order], rows[order]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     ends = np.append(at[1:], len(part))
     return part[at].tolist(), [kind] * len(at), [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
 
@@ -117,11 +128,11 @@ def prefix(s: np.ndarray, logs: np.ndarray, mean: float, percent: int) -> tuple[
     freq = logs[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((s, freq))
     free = n - -(-percent * n // 100)
-    most = min(n, free + MATCHES[-1])
-    cost = np.cumsum(np.maximum(0.0, np.exp2(freq[order[:most]].astype(np.float64) / 8) - 1 - 1.5 * mean - 8))
-    best, l = None, 1
-    for k in MATCHES:
-        if free + k > most:
+    base = max(1, free // 3)
+    cost = np.cumsum(np.maximum(0.0, np.exp2(freq[order[: free + MULTIPLES[-1] * base]].astype(np.float64) / 8) - 1 - 1.5 * mean - 8))
+    best, l = None, min(base, n - free)
+    for k in (base * x for x in MULTIPLES):
+        if free + k > n:
             break
         c = cost[free + k - 1] * (1 + VERIFY / k)
         if best is None or c < 0.8 * best:
@@ -190,59 +201,90 @@ def _pack(members: np.ndarray, lists: list[np.ndarray], part: np.ndarray, kind:
 _NONE = np.zeros(0, np.uint64)
 
 
-def _passing(members: np.ndarray, lists: list[np.ndarray], percent: int, first_only: bool) -> list[tuple[int, int]]:
-    """Pairs of one group that pass the filters."""
-    m, t, l, n, label = len(members), members["t"][0], members["l"], members["n"], members["label"]
+def needed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Shared prefix shingles that linked sets with these numbers have at least."""
+    overlap = -(-percent * (x["n"] + y["n"]) // (100 + percent))
+    return overlap + np.minimum(x["l"] + (-percent * x["n"] // 100), y["l"] + (-percent * y["n"] // 100))
+
+
+def _large(members: np.ndarray, lists: list[np.ndarray], percent: int, few: bool) -> np.ndarray:
+    """Pairs of one large group that may pass, with the number of shingles of large groups that they share.
+
+    Only pairs that share no earlier such shingle.
+    """
+    m, t, n, label, own = len(members), members["t"][0], members["n"], members["label"], members["own"]
     two = members["pair"][0] >> 32 != members["pair"][0] & 0xFFFFFFFF
-    own, long = members["own"], members["l"] > 1
-    shared = before = None
-    where = np.full(m, -1)
-    if long.sum() > 1:
-        which = np.flatnonzero(long)
-        where[which] = np.arange(len(which))
-        flat = np.concatenate([lists[i] for i in which])
-        who = np.repeat(np.arange(len(which)), [len(lists[i]) for i in which])
-        u, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        used = count > 1
-        u, column, ok = u[used], np.cumsum(used) - 1, used[inverse]
-        who, column = who[ok], column[inverse[ok]]
-        shared, before = np.zeros((len(which), len(which)), np.float32), np.zeros((len(which), len(which)), np.float32)
-        split = int(np.searchsorted(u, t))
-        for lo, hi, early in ((0, split, True), (split, len(u), False)):
-            for k in range(lo, hi, 4096):
-                e = min(hi, k + 4096)
-                x = np.zeros((len(which), e - k), np.float32)
-                some = (column >= k) & (column < e)
-                x[who[some], column[some] - k] = 1
-                got = x @ x.T
-                shared += got
-                if early:
-                    before += got
-    out = []
+    flat, who = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
+    u, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    used = count > 1
+    u, column, ok = u[used], np.cumsum(used) - 1, used[inverse]
+    who, column = who[ok], column[inverse[ok]]
+    shared, before = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    split = int(np.searchsorted(u, t))
+    for lo, hi, early in ((0, split, True), (split, len(u), False)):
+        for k in range(lo, hi, 4096):
+            e = min(hi, k + 4096)
+            x = np.zeros((m, e - k), np.float32)
+            some = (column >= k) & (column < e)
+            x[who[some], column[some] - k] = 1
+            got = x @ x.T
+            shared += got
+            if early:
+                before += got
+    left, right = [], []
     for i in range(m - 1):
         j = np.arange(i + 1, m)
-        ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (label[i] != label[j])
+        ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (label[i] != label[j]) & (before[i, j] == 0)
+        ok &= shared[i, j] + np.minimum(members["cold"][i], members["cold"][j]) >= needed(members[i], members[j], percent)
         if two:
             ok &= own[i] != own[j]
-        if shared is not None and long[i]:
-            b = where[j]
-            both = b >= 0
-            b = np.maximum(b, 0)
-            ok &= ~both | (shared[where[i], b] >= np.minimum(l[i], l[j])) & (before[where[i], b] == 0)
-        out.append(j[ok])
-    if not first_only:
-        return [(i, int(j)) for i, js in enumerate(out) for j in js]
-    done, pairs = np.zeros(m, bool), []
-    for i, js in enumerate(out):
-        for j in js[~done[js]]:
-            pairs.append((i, int(j)))
-        done[js] = True
-    return pairs
-
-
-def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the filters; with labels, none within a label, else each first partner."""
-    first_only = labels is None
+        j = j[ok][:FEW] if few else j[ok]
+        left.append(np.full(len(j), i, np.int32))
+        right.append(j.astype(np.int32))
+    i, j = np.concatenate(left), np.concatenate(right)
+    c = members["c"]
+    got = np.empty(len(i), _PAIR)
+    got["a"], got["b"] = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+    got["count"], got["need"] = shared[i, j], needed(members[i], members[j], percent)
+    return got
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    ok = (100 * np.minimum(x["n"], y["n"]) >= percent * np.maximum(x["n"], y["n"])) & (x["label"] != y["label"])
+    x, y = x[ok], y[ok]
+    got = np.empty(len(x), _PAIR)
+    got["a"], got["b"] = np.minimum(x["c"], y["c"]), np.maximum(x["c"], y["c"])
+    got["count"], got["need"] = 1, needed(x, y, percent)
+    return got
+
+
+def _small(members: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """All pairs of small groups, each counted once for the group's shingle; groups of one size at a time."""
+    out = [np.zeros(0, _PAIR)]
+    for size in np.unique(sizes).tolist():
+        if size < 2:
+            continue
+        at = starts[sizes == size][:, None] + np.arange(size)[None]
+        i, j = np.triu_indices(size, 1)
+        for block in np.array_split(at, max(1, at.shape[0] * len(i) // 2_000_000)):
+            out.append(_pairs(members[block[:, i].ravel()], members[block[:, j].ravel()], percent))
+    return np.concatenate(out)
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    at = np.flatnonzero(np.concatenate([[True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])]))
+    out = pairs[at].copy()
+    out["count"] = np.add.reduceat(pairs["count"], at)
+    return out
+
+
+def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: int, way: str) -> DataFrame:
+    """Pairs (a, b) of classes that pass the filters, none within a label: by way of "stars" those with the first
+    class of a shingle's group, of "few" a few for each class, of "all" all."""
+    stars, few = way == "stars", way == "few"
 
     def deal(t: pa.Table) -> pa.Table:
         own, rows, said = _joined(t, 1, _CLASS), _joined(t, 0, _LIVE), _joined(t, 2, _LABEL)
@@ -258,20 +300,23 @@ def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: i
         order = np.lexsort((rows["t"], rows["c"]))
         rows, at, label = rows[order], at[order], label[order]
         starts = np.flatnonzero(np.concatenate([[True], rows["c"][1:] != rows["c"][:-1]]))
-        whole = {int(rows["c"][a]): rows["t"][a:b] for a, b in zip(starts.tolist(), np.append(starts[1:], len(rows)).tolist(), strict=True) if own["l"][at[a]] > 1}
+        ends, large = np.append(starts[1:], len(rows)), rows["m"] > LARGE
+        cold = np.repeat(np.add.reduceat(~large, starts, dtype=np.int64), ends - starts)
+        whole = {int(rows["c"][a]): rows["t"][a:b][large[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if large[a:b].any()}
         members = np.empty(len(rows), _MEMBER)
         for f in ("t", "c"):
             members[f] = rows[f]
         members["label"], members["n"], members["l"], members["pair"] = label, own["n"][at], own["l"][at], 0
+        members["cold"], members["m"] = cold, rows["m"]
         blocks = -(-rows["m"] // BLOCK)
         members["own"] = (mixed(rows["c"] ^ rows["t"]) % blocks.astype(np.uint64)).astype(np.int64)
-        hot = blocks > 1
+        hot = (blocks > 1) & (not stars)
         if hot.any():  # a copy for each pair of blocks that has the member's own
             some, b = members[hot], blocks[hot]
             copies, other = np.repeat(some, b), np.concatenate([np.arange(x) for x in b])
             copies["pair"] = np.minimum(copies["own"], other) << 32 | np.maximum(copies["own"], other)
             members = np.concatenate([members[~hot], copies])
-        lists = [whole.get(c, _NONE) for c in members["c"].tolist()]
+        lists = [whole[c] if m > LARGE and not stars else _NONE for c, m in zip(members["c"].tolist(), members["m"].tolist(), strict=True)]
         members["size"] = [len(x) for x in lists]
         part = (mixed(members["t"] + members["pair"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         return pa.Table.from_batches([_pack(members, lists, part)])
@@ -284,20 +329,36 @@ def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: i
             tokens = np.frombuffer(d, np.uint64, -1, 8 + h.nbytes)
             heads.append(h)
             lists += np.split(tokens, np.cumsum(h["size"])[:-1])
-        a, b = [], []
+        pairs = [np.zeros(0, _PAIR)]
         if heads:
             members = np.concatenate(heads)
             order = np.lexsort((members["c"], members["n"], members["pair"], members["t"]))
             members = members[order]
             at = np.flatnonzero(np.concatenate([[True], (members["t"][1:] != members["t"][:-1]) | (members["pair"][1:] != members["pair"][:-1])]))
-            for s, e in zip(at.tolist(), np.append(at[1:], len(members)).tolist(), strict=True):
-                if e - s > 1 and (members["label"][s:e] != members["label"][s]).any():
-                    own = members[s:e]
-                    for i, j in _passing(own, [lists[k] for k in order[s:e]], percent, first_only):
-                        a.append(min(own["c"][i], own["c"][j]))
-                        b.append(max(own["c"][i], own["c"][j]))
-        got = np.unique(np.array([a, b], np.uint64).reshape(2, -1), axis=1)
-        return pa.table({"a": got[0].view(np.int64), "b": got[1].view(np.int64)})
+            sizes = np.diff(np.append(at, len(members)))
+            if stars:
+                first = np.repeat(at, sizes)
+                rest = np.flatnonzero(first != np.arange(len(members)))
+                pairs.append(_pairs(members[first[rest]], members[rest], percent))
+                at = at[:0]
+            large, sizes = members["m"][at] > LARGE, sizes[: len(at)]
+            pairs.append(_small(members, at[~large], sizes[~large], percent))
+            for s, size in zip(at[large].tolist(), sizes[large].tolist(), strict=True):
+                own = members[s : s + size]
+                if size > 1 and (own["label"] != own["label"][0]).any():
+                    pairs.append(_large(own, [lists[k] for k in order[s : s + size]], percent, few))
+        got = _summed(np.concatenate(pairs))
+        return pa.Table.from_batches([_rows(*_dealt(0, (mixed(got["b"]) % np.uint64(parts)).astype(np.int64), got))])
+
+    def count(t: pa.Table) -> pa.Table:
+        got = _summed(_joined(t, 0, _PAIR))
+        got = got[got["count"] >= got["need"]]
+        if few:
+            got = got[np.lexsort((mixed(got["a"] + mixed(got["b"])), got["b"]))]
+            first = np.concatenate([[True], got["b"][1:] != got["b"][:-1]]) if len(got) else np.zeros(0, bool)
+            place = np.arange(len(got)) - np.maximum.accumulate(np.where(first, np.arange(len(got)), 0)) if len(got) else np.zeros(0, int)
+            got = got[place < FEW]
+        return pa.table({"a": got["a"].copy().view(np.int64), "b": got["b"].copy().view(np.int64)})
 
     rows = live
     if labels is not None:
@@ -310,24 +371,30 @@ def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: i
                 yield _rows(*_dealt(2, (x["c"] % np.uint64(parts)).astype(np.int64), x))
 
         rows = live.unionByName(labels.select("node", "label").mapInArrow(say, _ROWS))
-    return rows.groupBy("part").applyInArrow(deal, _ROWS).groupBy("part").applyInArrow(pair, "a long, b long").distinct()
+    return rows.groupBy("part").applyInArrow(deal, _ROWS).groupBy("part").applyInArrow(pair, _ROWS).groupBy("part").applyInArrow(count, "a long, b long")
+
 
+def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose sets are linked indeed.
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sets are linked indeed. Sets are made anew for classes in a Bloom filter of the pairs."""
-    pairs = cut(pairs)
+    Sets are made anew, for one document of each class in a pair; a Bloom filter of these documents' ids spares
+    the others, and what it lets through wrongly finds no pair to join.
+    """
+    key = lambda c: F.coalesce(c, F.lit(-(2**63)))  # noqa: E731  a null id
+    of = own.groupBy("class").agg(F.min(key(F.col("doc_id"))).alias("doc"))
+    of_a, of_b = of.select(F.col("class").alias("a"), F.col("doc").alias("a_doc")), of.select(F.col("class").alias("b"), F.col("doc").alias("b_doc"))
+    pairs = cut(pairs.join(of_a, "a").join(of_b, "b").select("a_doc", "b_doc", "a", "b"))
     size = 1 << BLOOM_BITS
+    spread = lambda ids: mixed(ids.view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices, seen = {}, None
+        slices, seen = {}, np.zeros(0, np.uint64)
         for batch in batches:
-            c = np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]).view(np.uint64)
-            seen = np.unique(c >> np.uint64(64 - BLOOM_BITS)) if seen is None else np.union1d(seen, c >> np.uint64(64 - BLOOM_BITS))
-        if seen is not None:
-            for s in range(64):
-                own = seen[(seen >= s * (size // 64)) & (seen < (s + 1) * (size // 64))] - np.uint64(s * (size // 64))
-                if len(own):
-                    slices[s] = np.packbits(np.bincount(own.astype(np.int64), minlength=size // 64).astype(bool)).tobytes()
+            seen = np.union1d(seen, spread(np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])))
+        for s in range(64):
+            at = seen[(seen >= s * (size // 64)) & (seen < (s + 1) * (size // 64))] - np.uint64(s * (size // 64))
+            if len(at):
+                slices[s] = np.packbits(np.bincount(at.astype(np.int64), minlength=size // 64).astype(bool)).tobytes()
         yield _rows(list(slices), [0] * len(slices), [pa.compress(x, "zstd", asbytes=True) for x in slices.values()])
 
     def either(key: tuple, t: pa.Table) -> pa.Table:
@@ -343,17 +410,13 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
         has = np.zeros(size // 8, np.uint8)
         for s, d in bloom.items():
             has[s * (size // 512) : (s + 1) * (size // 512)] = np.frombuffer(pa.decompress(d, size // 512, "zstd", asbytes=True), np.uint8)
-        has, seen = np.unpackbits(has).astype(bool), set()
+        has = np.unpackbits(has).astype(bool)
         for batch in batches:
-            ids, data = [], []
-            for s in _sets(batch, words):
-                c = class_of(s)
-                if c and has[c >> (64 - BLOOM_BITS)] and c not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(c)
-                    ids.append(c)
-                    data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(data, pa.binary())], ["c", "s"])
+            some = has[spread(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)]
+            batch = batch.filter(pa.array(some))
+            made = list(_sets(batch, words))
+            c = np.array([class_of(s) for s in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "c", "s"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,10 +427,11 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    got = cut(docs.mapInArrow(sets, "c long, s binary"))
-    one = got.groupBy("c").agg(F.first("s").alias("s"))
-    left = pairs.join(one.select(F.col("c").alias("a"), F.col("s").alias("x")), "a")
-    return cut(left.join(one.select(F.col("c").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"))
+    got = docs.select(key(F.col("doc_id")).alias("doc"), "text").mapInArrow(sets, "doc long, c long, s binary")
+    x, y = got.alias("x"), got.alias("y")
+    left = pairs.join(x, (F.col("a") == F.col("x.c")) & (F.col("a_doc") == F.col("x.doc"))).select("a", "b", "b_doc", F.col("x.s").alias("s1"))
+    both = left.join(y, (F.col("b") == F.col("y.c")) & (F.col("b_doc") == F.col("y.doc"))).select("a", "b", "s1", F.col("y.s").alias("s2"))
+    return cut(both.mapInArrow(linked, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -392,6 +456,17 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
+def relabelled(near: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after more links."""
+    if near is None:
+        return cut(components(links))
+    at = lambda side: near.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    over = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    more = cut(components(over))
+    moved = near.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(moved.unionByName(more.join(near, "node", "left_anti").select("node", "label")))
+
+
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class for each row of docs.
 
@@ -406,15 +481,10 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     own, sketch, total = document_classes(docs, words)
     parts = max(2 * partitions(docs), total // 4_000_000)
     live = cut(live_postings(docs, words, percent, sketch, total, parts))
-    first = verified(docs, candidates(live, None, percent, parts), words, percent)
-    near = cut(components(first))
-    second = verified(docs, candidates(live, near, percent, parts), words, percent)
-    at = lambda side: near.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    over = second.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    merged = cut(components(over))
-    near = near.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    final = cut(near.unionByName(merged.join(near, "node", "left_anti").select("node", "label")))
-    labelled = own.join(final.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "class")))
+    near = None
+    for way in ("stars", "few", "all"):
+        near = relabelled(near, verified(docs, own, candidates(live, near, percent, parts, way), words, percent))
+    labelled = own.join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "class")))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("class"))
 
