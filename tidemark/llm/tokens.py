@@ -21,8 +21,9 @@ from tidemark.llm.common import table
 
 MARK = "▁"
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-#: Distinct pre-tokens that a Python worker remembers; it forgets all and goes on when there are more.
-REMEMBERED = 300_000
+#: Distinct pre-tokens, and pairs of tokens, that a Python worker remembers; it forgets all and goes on when there
+#: are more. Results don't depend on them.
+REMEMBERED, PAIRS = 120_000, 250_000
 
 
 class MergeModel:
@@ -102,6 +103,8 @@ class MergeModel:
             key = (before + 2) << 20 | token
             ok = fits.get(key)
             if ok is None:
+                if len(fits) >= PAIRS:
+                    fits.clear()
                 ok = fits[key] = self.compatible(before, token)
             if ok:
                 last[end], size[end] = token, length
@@ -170,8 +173,6 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
             n, h, d, all_ids, all_text = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = pre_tokens(text or "")
-                if len(memory) > REMEMBERED:
-                    memory.clear()
                 count, ids, decoded = 0, [], []
                 for w in words:
                     got = memory.get(w)
@@ -180,6 +181,8 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
                         got = (len(own), ",".join(map(str, own)), model.decode_piece(own))
                         if len(w) < 64:
                             memory[w] = got
+                            if len(memory) > REMEMBERED:
+                                memory.clear()
                     count += got[0]
                     ids.append(got[1])
                     decoded.append(got[2])
