@@ -62,3 +62,14 @@ def test_slices_equal_the_whole(bars, bank, strategy, rows):
     assert len(cut) == len(whole) and cut["seq"].tolist() == whole["seq"].tolist()
     for k in some:
         assert np.allclose(whole[k].to_numpy(float), cut[k].to_numpy(float), rtol=1e-6, atol=1e-8, equal_nan=True), k
+
+
+def test_single_precision(bars, bank):
+    some = {k: bank[k] for k in ("f_0041", "f_0035", "f_0047")}
+    one, two = (planner.compute(bars, some, precision=p).toPandas().sort_values(["symbol", "seq"]).reset_index(drop=True) for p in ("single", "double"))
+    for k in some:
+        x = one[k].to_numpy()
+        assert np.array_equal(x, x.astype(np.float32).astype(float)) and np.allclose(x, two[k], rtol=5e-2, atol=5e-2)
+    for bad in ({"precision": "half"}, {"precision": "single", "strategy": "native"}):
+        with pytest.raises(ValueError):
+            planner.compute(bars, some, **bad)

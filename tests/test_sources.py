@@ -34,6 +34,7 @@ def test_candles(candles):
 def test_count_bars_withhold_a_tail(candles):
     got = B.count_bars(candles, 4).orderBy("seq").collect()
     assert [(r.open, r.high, r.low, r.close, r.vol) for r in got] == [(0.0, 6.0, -1.0, 5.0, 40.0), (5.0, 12.0, 4.0, 11.0, 40.0)]
+    assert [tuple(r) for r in B.count_bars(candles, 4, per_task=2).orderBy("seq").collect()] == [tuple(r) for r in B.count_bars(candles, 4).orderBy("seq").collect()]
     with pytest.raises(ValueError):
         B.count_bars(candles, 0)
 

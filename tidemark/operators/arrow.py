@@ -140,20 +140,25 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
     raise NotImplementedError(op)
 
 
-def evaluate(exprs: Mapping[str, Expr], columns: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Values of expressions over one symbol's rows in order; each distinct node is computed once."""
+def evaluate(exprs: Mapping[str, Expr], columns: Mapping[str, np.ndarray], single: bool = False) -> dict[str, np.ndarray]:
+    """Values of expressions over one symbol's rows in order; each distinct node is computed once.
+
+    single rounds inputs and every node's result to single precision; sums within a node stay double.
+    """
     n = len(next(iter(columns.values())))
+    cast = (lambda v: v.astype(np.float32).astype(np.float64)) if single else (lambda v: v)
     done: dict[Expr, np.ndarray] = {}
     for e in exprs.values():
         for node in e.nodes():
             if node in done:
                 continue
             if node.op == "input":
-                done[node] = np.asarray(columns[str(node.value)], np.float64)
+                done[node] = cast(np.asarray(columns[str(node.value)], np.float64))
             elif node.op == "const":
-                done[node] = np.full(n, float(node.value))
+                done[node] = cast(np.full(n, float(node.value)))
             else:
-                done[node] = kernel(node, [done[a] for a in node.args])
+                with np.errstate(over="ignore"):
+                    done[node] = cast(kernel(node, [done[a] for a in node.args]))
     return {name: done[e] for name, e in exprs.items()}
 
 
@@ -161,7 +166,7 @@ def inputs_of(exprs: Mapping[str, Expr]) -> list[str]:
     return sorted({i for e in exprs.values() for i in e.inputs()})
 
 
-def lower(df: DataFrame, exprs: Mapping[str, Expr], keys: list[str], order: list[str], extra: list[str] | None = None) -> DataFrame:
+def lower(df: DataFrame, exprs: Mapping[str, Expr], keys: list[str], order: list[str], extra: list[str] | None = None, single: bool = False) -> DataFrame:
     """Keys, order, ``extra`` columns and one column for each expression, by one grouped pass for each key."""
     names, carried = inputs_of(exprs), [*keys, *order, *(extra or [])]
     schema = T.StructType([df.schema[c] for c in dict.fromkeys(carried)] + [T.StructField(n, T.DoubleType()) for n in exprs])
@@ -169,7 +174,7 @@ def lower(df: DataFrame, exprs: Mapping[str, Expr], keys: list[str], order: list
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in order])
-        values = evaluate(exprs, {i: t.column(i).to_numpy().astype(np.float64) for i in names} or {"_": np.zeros(t.num_rows)})
+        values = evaluate(exprs, {i: t.column(i).to_numpy().astype(np.float64) for i in names} or {"_": np.zeros(t.num_rows)}, single)
         out = {c: t.column(c) for c in dict.fromkeys(carried)}
         return pa.table(out | {n: pa.array(v, pa.float64(), from_pandas=True) for n, v in values.items()})
 

@@ -26,7 +26,7 @@ def choose(exprs: Mapping[str, Expr]) -> str:
 
 def compute(
     df: DataFrame, exprs: Mapping[str, Expr], keys: list[str] | None = None, order: list[str] | None = None, raw: bool = False, strategy: str | None = None, ready: bool = False, allow_missing: bool = False,
-    slice_rows: int | None = None,
+    slice_rows: int | None = None, precision: str = "double",
 ) -> DataFrame:
     """Keys, order and one column for each expression.
 
@@ -36,13 +36,19 @@ def compute(
     slice_rows deals a key's rows to tasks of so many rows each, with the rows that values look back on in front,
     so that one very long series doesn't sit in one task. Averages that recur reach back further than a double
     can tell (see ``slicing``).
+
+    precision "single" rounds every node's result to single precision, as engines do that hold floats.
     """
+    if precision not in ("double", "single"):
+        raise ValueError(f"unknown precision {precision!r}")
+    if precision == "single" and strategy == "native":
+        raise ValueError("single precision needs the arrow strategy")
     keys, order = keys or ["symbol"], order or ["ts", "seq"]
     if missing := [i for i in arrow.inputs_of(exprs) if i not in df.columns]:
         if not allow_missing:
             raise ValueError(f"inputs are missing: {', '.join(missing)}")
         df = df.withColumns({i: F.lit(None).cast("double") for i in missing})
-    strategy, groups = strategy or choose(exprs), keys
+    strategy, groups = strategy or ("arrow" if precision == "single" else choose(exprs)), keys
     if slice_rows:
         df = sliced(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), exprs, keys, order, slice_rows)
         groups = [*keys, "_slice"]
@@ -52,7 +58,7 @@ def compute(
             raise ValueError("ema is recursive and has no window frame; use the arrow strategy")
         out = native.lower(df.select(*dict.fromkeys([*groups, *order, *arrow.inputs_of(exprs), *extra])), exprs, groups, order).select(*groups, *order, *extra, *exprs)
     elif strategy == "arrow":
-        out = arrow.lower(df, exprs, groups, order, extra)
+        out = arrow.lower(df, exprs, groups, order, extra, precision == "single")
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     if slice_rows:

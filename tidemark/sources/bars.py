@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.slicing import numbered
+
 FIELDS = ("open", "high", "low", "close", "vol", "vol_ccy", "vol_ccy_quote")
 _UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hr": 3600}
 #: Exchange channels by bar length in seconds.
@@ -70,14 +72,19 @@ def _merge(order: Column, fields: list[str]) -> list[Column]:
     return [(by[f]() if f in by else F.sum(f)).alias(f) for f in fields]
 
 
-def count_bars(candles: DataFrame, n: int) -> DataFrame:
-    """Every n bars of a symbol in a row make one; a tail of fewer is withheld. Gaps are not filled."""
+def count_bars(candles: DataFrame, n: int, per_task: int | None = None) -> DataFrame:
+    """Every n bars of a symbol in a row make one; a tail of fewer is withheld. Gaps are not filled.
+
+    per_task numbers a symbol's rows in stretches of about so many rows, for symbols too long for one task.
+    """
     if n < 1:
         raise ValueError("n must be positive")
     fields = [f for f in (*FIELDS, "volume") if f in candles.columns]
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
-    numbered = candles.withColumn("bar", F.floor((F.row_number().over(w) - 1) / n))
-    out = numbered.groupBy("symbol", "bar").agg(F.min("ts").alias("ts"), F.count("*").alias("_n"), *_merge(F.struct("ts", "seq"), fields))
+    if per_task:
+        rows = numbered(candles, ["symbol"], ["ts", "seq"], per_task).withColumn("bar", F.floor(F.col("_row") / n))
+    else:
+        rows = candles.withColumn("bar", F.floor((F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "seq")) - 1) / n))
+    out = rows.groupBy("symbol", "bar").agg(F.min("ts").alias("ts"), F.count("*").alias("_n"), *_merge(F.struct("ts", "seq"), fields))
     return out.where(F.col("_n") == n).drop("_n").withColumnRenamed("bar", "seq")
 
 
