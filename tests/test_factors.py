@@ -65,7 +65,7 @@ def test_slices_equal_the_whole(bars, bank, strategy, rows):
 
 
 def test_single_precision(bars, bank):
-    some = {k: bank[k] for k in ("f_0041", "f_0035", "f_0047")}
+    some = {k: bank[k] for k in ("f_0041", "f_0035", "f_0051")}
     one, two = (planner.compute(bars, some, precision=p).toPandas().sort_values(["symbol", "seq"]).reset_index(drop=True) for p in ("single", "double"))
     for k in some:
         x = one[k].to_numpy()
