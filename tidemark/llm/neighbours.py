@@ -145,7 +145,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
     out = "query_id long, vec_id long, score double"
     pick = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
     rows, queries = pick(rows), pick(queries)
-    n = rows.count()
     sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").toPandas()["v"].tolist()
     spark = rows.sparkSession
     if not sample:
