@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, table
+from tidemark.llm.common import cut, table
 from tidemark.llm.shingles import mixed, shingle_sets
 
 #: The frequency sketch has 2**SKETCH_BITS counters, at any size of input; it decides costs, never results.
@@ -36,6 +36,9 @@ MULTIPLES, VERIFY = (1, 2, 4, 8, 16), 60.0
 #: A shingle's group is large beyond so many classes; still larger ones are dealt in blocks of so many classes, a
 #: task for each pair of blocks.
 LARGE, BLOCK = 128, 2048
+#: Bytes are dealt to a part for each 2,000,000 distinct shingles of documents, and to so many parts at least; the
+#: number follows the data, not the session's partitions, since parts send rows to parts.
+LEAST_PARTS = 24
 #: Partners that the second round keeps for each class.
 FEW = 32
 #: Bits of the Bloom filter that spares the shuffle sets which no candidate pair needs.
@@ -54,10 +57,16 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") or 1 if len(s) else 0
 
 
-def _sets(batch: pa.RecordBatch, words: int, step: int = 128) -> Iterator[np.ndarray]:
-    texts = batch.column(1)
-    for k in range(0, len(texts), step):
-        yield from shingle_sets([(t or "").encode() for t in texts.slice(k, step).to_pylist()], words)
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    """The set of each text, about 256 kB of text at a time."""
+    block, size = [], 0
+    for t in batch.column(1):
+        block.append((t.as_py() or "").encode())
+        size += len(block[-1])
+        if size >= 1 << 18:
+            yield from shingle_sets(block, words)
+            block, size = [], 0
+    yield from shingle_sets(block, words)
 
 
 def _rows(parts: list[int], kinds: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -99,7 +108,7 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, bytes, int
                 n.append(len(s))
                 own.append(c)
                 if c not in seen and len(s):
-                    if len(seen) < 200_000:
+                    if len(seen) < 50_000:
                         seen.add(c)
                     np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
@@ -152,7 +161,7 @@ def live_postings(docs: DataFrame, words: int, percent: int, sketch: bytes, tota
                 c = class_of(s)
                 if not c or c in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:
                     seen.add(c)
                 p, l = prefix(s, logs, mean, percent)
                 tokens.append(p)
@@ -266,7 +275,7 @@ def _small(members: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent:
             continue
         at = starts[sizes == size][:, None] + np.arange(size)[None]
         i, j = np.triu_indices(size, 1)
-        for block in np.array_split(at, max(1, at.shape[0] * len(i) // 2_000_000)):
+        for block in np.array_split(at, max(1, at.shape[0] * len(i) // 150_000)):
             out.append(_pairs(members[block[:, i].ravel()], members[block[:, j].ravel()], percent))
     return np.concatenate(out)
 
@@ -410,10 +419,9 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, words: int, perc
         has = np.zeros(size // 8, np.uint8)
         for s, d in bloom.items():
             has[s * (size // 512) : (s + 1) * (size // 512)] = np.frombuffer(pa.decompress(d, size // 512, "zstd", asbytes=True), np.uint8)
-        has = np.unpackbits(has).astype(bool)
         for batch in batches:
-            some = has[spread(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)]
-            batch = batch.filter(pa.array(some))
+            bit = spread(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            batch = batch.filter(pa.array((has[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
             made = list(_sets(batch, words))
             c = np.array([class_of(s) for s in made], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "c", "s"])
@@ -479,7 +487,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own, sketch, total = document_classes(docs, words)
-    parts = max(2 * partitions(docs), total // 4_000_000)
+    parts = max(LEAST_PARTS, total // 2_000_000)
     live = cut(live_postings(docs, words, percent, sketch, total, parts))
     near = None
     for way in ("stars", "few", "all"):

@@ -160,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     def score(texts):
         import pandas as pd
 
-        return pd.Series(model.scores(_matrix(texts.tolist()))) if len(texts) else pd.Series([], dtype=float)
+        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(_matrix(texts.iloc[k : k + 256].tolist())) for k in range(0, len(texts), 256))]))
 
     out = docs.drop(*names).withColumn("held_out", held_out()).withColumn("score", score("text"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -22,7 +22,7 @@ from tidemark.llm.common import table
 MARK = "▁"
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Distinct pre-tokens, and pairs of tokens, that a Python worker remembers; it forgets all and goes on when there
-#: are more. Results don't depend on them.
+#: are more, and forgets the pre-tokens after a task. Results don't depend on them.
 REMEMBERED, PAIRS = 120_000, 250_000
 
 
@@ -199,6 +199,7 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        memory.clear()  # the worker goes on to other work
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
@@ -244,6 +245,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        memory.clear()  # the worker goes on to other work
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
