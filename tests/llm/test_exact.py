@@ -217,3 +217,40 @@ def test_substrings_odd(odd, empty):
     assert sum(len(r.kept) for r in got) == sum(r.n_bytes - r.n_removed for r in got)
     with pytest.raises(ValueError):
         substrings.remove_repeats(empty, 10)
+
+
+@pytest.fixture(scope="module")
+def crowded():
+    """Texts around two phrases: contexts of few anchors, some strings longer than the phrase shared, one very often."""
+    rng = random.Random(8)
+    phrase, long_one = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (70, 98))
+    tails = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    word = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = []
+    for k in range(400):
+        a, b = rng.choice(tails) if k % 3 else word(60), rng.choice(tails) if k % 4 else word(60)
+        rows.append(word(rng.randint(0, 90)) + a + phrase + b + word(20) + ("xy" + long_one + "z" if k % 2 else long_one) + word(80))
+    return rows
+
+
+@pytest.mark.parametrize(("most", "crowd"), [(2000, 1000), (2000, 20), (700, 5)])
+def test_substrings_split_crowded_anchors(spark, crowded, most, crowd):
+    df = spark.createDataFrame(list(enumerate(crowded)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(df, 100, most=most, crowd=crowd).collect()}
+    assert [got[k] for k in range(len(crowded))] == plain_repeats(crowded, 100)
+
+
+def test_no_crowded_anchor_is_sorted_at_once(spark, crowded):
+    docs = spark.createDataFrame(list(enumerate(crowded)), "key long, text string")
+    most, parts = 2000, 4
+    compared = substrings.compare_contexts(substrings.find_contexts(docs, 100, parts, 20), parts, most)
+    hot = np.unique(np.concatenate([np.frombuffer(r.data, "<u8") for r in compared.where("kind = 3").collect()]))
+    packed = substrings.find_contexts(docs, 100, parts, 20, hot).where("kind = 3").cache()
+    split, known = substrings.split_hot(packed, 100, parts, most)
+    before, after = ([substrings._unpack(r.data)[0] for r in d.collect()] for d in (packed, split))
+    sizes = []
+    for wants in (before, after):
+        want = np.concatenate(wants)
+        _, which = np.unique(want["h"], return_inverse=True)
+        sizes.append(np.bincount(which, want["size"]).max())
+    assert sizes[0] > 10 * most and sizes[1] <= most and known.count()
