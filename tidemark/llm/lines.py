@@ -1,4 +1,4 @@
-"""Line dedup by winnowing. DataFrame functions only."""
+"""Line dedup by hashes of all windows of lines. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -34,9 +34,8 @@ def line_windows(docs: DataFrame, run: int, long_line: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, run: int = RUN, long_line: int = LONG_LINE) -> DataFrame:
     """doc_id, same, removed: numbers of the lines that lie in a run that occurs earlier.
 
-    Positions are joined by fingerprint: a fingerprint that occurs once goes. The windows around the others
-    extend a match to both sides, line by line; of equal windows the first (by doc_id, then place) stays, and
-    the lines of all later ones are marked. Counts and firsts are aggregated before the shuffle, and no pairs
+    All windows are compared by hash, none are selected; of equal windows the first (by doc_id, then place)
+    stays, and the lines of all later ones are marked. Counts and firsts are aggregated before the shuffle, and no pairs
     are made, so a run that a third of all documents share costs one row for each place.
     """
     windows = line_windows(docs, run, long_line)
