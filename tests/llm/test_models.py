@@ -41,6 +41,46 @@ def test_encoding_of_odd_strings(library):
         assert model.decode(model.encode(text)) == library.decode(library.encode(text))
 
 
+def test_pre_tokens():
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        text = "".join(rng.choice(list("ab ▁\n\té"), rng.integers(0, 12)))
+        assert tokens.pre_tokens(text) == (tokens.PRE_TOKEN.findall(f" {text}".replace("▁", " ")) if text else []), repr(text)
+
+
+def test_pairs_follow_the_merge_procedure():
+    with open(tokens.default_model(), "rb") as f:
+        model = tokens.MergeModel(f.read())
+    rng = np.random.default_rng(5)
+    ids = np.array(sorted(model.tokens))
+    made = model.pair[rng.choice(len(model.pair), 3000)]  # pairs that some piece is made of
+    spaces = ids[model.tied[ids]]
+    a, b = (np.concatenate([rng.choice(ids, 3000), m, rng.choice(spaces, 300), rng.choice(ids, 300)]) for m in (made >> 20, made & 0xFFFFF))
+    a, b = np.concatenate([a, b[-300:]]), np.concatenate([b, a[-600:-300]])
+    some = np.isin(a, ids) & np.isin(b, ids)
+    a, b = a[some], b[some]
+    got = model.compatible(a, b)
+    for x, y, ok in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        two = [model.pieces[x], model.pieces[y]]
+        assert (model.merges("".join(two))[0] == two) == ok, two
+    assert 0.1 < got.mean() < 0.9
+
+
+@pytest.mark.parametrize("remembered", [0, 50])
+def test_forgetting_changes_nothing(corpus, remembered):
+    df, _ = corpus
+    got = {tuple(r) for r in tokens.encode_documents(df, tokens.default_model(), remembered=remembered).collect()}
+    assert got == {tuple(r) for r in tokens.encode_documents(df, tokens.default_model(), keep=True).collect()}
+
+
+def test_a_long_text(spark, library):
+    text = "a long text of 5 MB, 中文. " * 200_000 + "x" * 20_000
+    r = tokens.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokens.default_model()).first()
+    ids = library.encode(text)
+    assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert tokens.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokens.default_model()).first().n_tokens == len(ids)
+
+
 def test_counts_equal_the_library(corpus, library):
     df, data = corpus
     texts = {i: t or "" for i, t, *_ in data}
