@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, induced, jaccard, lines, substrings
-from tidemark.llm.shingles import shingle_sets
+from tidemark.llm.shingles import common, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -154,6 +154,34 @@ def test_jaccard_with_a_large_group(spark):
     assert got == plain_links(data, 3, 90)
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    """A Thue-Morse string and its complement agree under any polynomial modulo 2^64."""
+    data = []
+    for k in range(9, 13):
+        a = "a"
+        for _ in range(k):
+            a += a.translate(str.maketrans("ab", "ba"))
+        data += [(4 * k, a), (4 * k + 1, a.translate(str.maketrans("ab", "ba"))), (4 * k + 2, f"x {a} y"), (4 * k + 3, a)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(data, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: (1, i - 3 if i % 4 == 3 else i) for i, _ in data}
+
+
+def test_classes_with_one_first_half_go_by_the_second():
+    s = shingle_sets([b"a b c d"], 3)[0]
+    first, second = jaccard.halves(s)
+    assert jaccard.class_of(s, frozenset()) == first and jaccard.class_of(s, frozenset([first])) == second
+    assert jaccard.halves(s[:0]) == (0, 0)
+    double = np.array([(1, 2), (1, 3), (2, 2)], s.dtype)
+    assert common(double, double[1:]) == 2 and common(double[1:], double[::2]) == 1
+
+
+def test_a_crowded_key_is_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(60)], "u long, x long")
+    of = rows.groupBy("u").agg(F.count("*").alias("of"), F.max("x").alias("m"))
+    assert sorted(map(tuple, jaccard.joined(rows, of, "u", 60).collect())) == sorted(map(tuple, rows.join(of.drop("of"), "u").collect()))
+
+
 def test_jaccard_odd(odd, empty):
     assert jaccard.similar_components(empty).count() == 0
     got = jaccard.similar_components(odd[0]).collect()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
-from tidemark.llm.shingles import mixed, shingle_sets
+from tidemark.llm.shingles import SHINGLE, common, mixed, shingle_sets
 
 #: The frequency sketch has 2**SKETCH_BITS counters, at any size of input; it decides costs, never results.
 SKETCH_BITS = 21
@@ -41,6 +41,8 @@ LARGE, BLOCK = 128, 2048
 LEAST_PARTS = 24
 #: Partners that the second round keeps for each class.
 FEW = 32
+#: A key of more rows than this, and than a thousandth of them all, is joined by broadcast.
+CROWD = 1000
 #: Bits of the Bloom filter that spares the shuffle sets which no candidate pair needs.
 BLOOM_BITS = 26
 _ROWS = "part int, kind int, data binary"
@@ -52,9 +54,26 @@ _MEMBER = np.dtype([("t", "<u8"), ("pair", "<i8"), ("own", "<i8"), ("c", "<u8"),
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("count", "<i4"), ("need", "<i4")])
 
 
-def class_of(s: np.ndarray) -> int:
-    """Id of a set: 64 bits of a digest; 0 for the empty set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") or 1 if len(s) else 0
+#: Classes that share the first half of their digests; these go by the second half.
+Taken = frozenset[int]
+
+
+def halves(s: np.ndarray) -> tuple[int, int]:
+    """A set's digest of 128 bits in two halves; zeros for the empty set."""
+    if not len(s):
+        return 0, 0
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little") or 1, int.from_bytes(digest[8:], "little") or 1
+
+
+def class_of(s: np.ndarray, taken: Taken) -> int:
+    """The name of a set's class."""
+    first, second = halves(s)
+    return second if first in taken else first
+
+
+def _key(doc_id: F.Column) -> F.Column:
+    return F.coalesce(doc_id, F.lit(-(2**63)))  # a null id
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -89,8 +108,9 @@ def _joined(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(got), dtype)
 
 
-def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, bytes, int]:
-    """(doc_id, n, class) of each document; the sketch, a byte for each counter; all distinct shingles' number.
+def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, Taken, bytes, int]:
+    """(doc_id, n, class) of each document; (class, doc, least, docs) of each class; classes that go by the second
+    half of their digests; the sketch, a byte for each counter; all distinct shingles' number.
 
     Each task counts in an array of bounded size; the arrays are summed in slices, and what comes to the driver
     is the logarithms, one byte for each counter whatever the size of the input.
@@ -100,23 +120,23 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, bytes, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ids, n, own = batch.column(0), [], []
             for s in _sets(batch, words):
-                c = class_of(s)
+                c = halves(s)
                 n.append(len(s))
                 own.append(c)
                 if c not in seen and len(s):
                     if len(seen) < 50_000:
                         seen.add(c)
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(np.array(own, np.uint64).view(np.int64)), none, pa.nulls(len(n), pa.binary())], schema=schema)
+                    np.add.at(counts, (s["h"] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            none, digests = pa.nulls(len(n), pa.int32()), np.array(own, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), none, pa.nulls(len(n), pa.binary())], schema=schema)
         if counts.any():
             data = [pa.compress(counts[k * width : (k + 1) * width].tobytes(), "zstd", asbytes=True) for k in range(slices)]
             empty = pa.nulls(slices, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(slices), pa.int32()), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(range(slices), pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
@@ -125,15 +145,23 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, bytes, int
         logs = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
-    all_rows = cut(docs.mapInArrow(run, "doc_id long, n long, class long, slice int, counts binary"))
+    all_rows = cut(docs.mapInArrow(run, "doc_id long, n long, first long, second long, slice int, counts binary"))
     got = all_rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, logs binary, total long").collect()  # 32 rows of 64 kB
     sketch = b"".join(bytes(r["logs"]) for r in sorted(got, key=lambda r: r["slice"]))
-    return all_rows.where("slice is null").select("doc_id", "n", "class"), sketch, sum(r["total"] for r in got)
+    taken: set[int] = set()
+    while True:
+        name = F.when(F.col("first").isin(list(taken)), F.col("second")).otherwise(F.col("first")) if taken else F.col("first")
+        own = all_rows.where("slice is null").select("doc_id", "n", "second", name.alias("class"))
+        classes = cut(own.groupBy("class").agg(F.min(_key(F.col("doc_id"))).alias("doc"), F.min("doc_id").alias("least"), F.count("*").alias("docs"), F.max("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")))
+        double = classes.where("low <> high").select("class").collect()  # by chance: rows^2 / 2^65 of them
+        if not double:
+            return own.drop("second"), classes, frozenset(c & (1 << 64) - 1 for c in taken), sketch, sum(r["total"] for r in got)
+        taken |= {r["class"] for r in double}
 
 
 def prefix(s: np.ndarray, logs: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order, and the number of shared shingles that it asks for."""
-    n = len(s)
+    n, s = len(s), s["h"]
     freq = logs[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((s, freq))
     free = n - -(-percent * n // 100)
@@ -149,7 +177,7 @@ def prefix(s: np.ndarray, logs: np.ndarray, mean: float, percent: int) -> tuple[
     return s[order[: free + l]], l
 
 
-def live_postings(docs: DataFrame, words: int, percent: int, sketch: bytes, total: int, parts: int) -> DataFrame:
+def live_postings(docs: DataFrame, words: int, percent: int, taken: Taken, sketch: bytes, total: int, parts: int) -> DataFrame:
     """Rows of bytes by class: its numbers (kind 1), and its prefix shingles that another class has too (kind 0)."""
     mean = total / (1 << SKETCH_BITS)
 
@@ -158,7 +186,7 @@ def live_postings(docs: DataFrame, words: int, percent: int, sketch: bytes, tota
         for batch in batches:
             tokens, owners, numbers = [], [], []
             for s in _sets(batch, words):
-                c = class_of(s)
+                c = class_of(s, taken)
                 if not c or c in seen:
                     continue
                 if len(seen) < 50_000:
@@ -383,15 +411,13 @@ def candidates(live: DataFrame, labels: DataFrame | None, percent: int, parts: i
     return rows.groupBy("part").applyInArrow(deal, _ROWS).groupBy("part").applyInArrow(pair, _ROWS).groupBy("part").applyInArrow(count, "a long, b long")
 
 
-def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, taken: Taken, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose sets are linked indeed.
 
     Sets are made anew, for one document of each class in a pair; a Bloom filter of these documents' ids spares
     the others, and what it lets through wrongly finds no pair to join.
     """
-    key = lambda c: F.coalesce(c, F.lit(-(2**63)))  # noqa: E731  a null id
-    of = own.groupBy("class").agg(F.min(key(F.col("doc_id"))).alias("doc"))
-    of_a, of_b = of.select(F.col("class").alias("a"), F.col("doc").alias("a_doc")), of.select(F.col("class").alias("b"), F.col("doc").alias("b_doc"))
+    of_a, of_b = (classes.select(F.col("class").alias(k), F.col("doc").alias(f"{k}_doc")) for k in "ab")
     pairs = cut(pairs.join(of_a, "a").join(of_b, "b").select("a_doc", "b_doc", "a", "b"))
     size = 1 << BLOOM_BITS
     spread = lambda ids: mixed(ids.view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
@@ -423,25 +449,37 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, words: int, perc
             bit = spread(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
             batch = batch.filter(pa.array((has[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
             made = list(_sets(batch, words))
-            c = np.array([class_of(s) for s in made], np.uint64).view(np.int64)
+            c = np.array([class_of(s, taken) for s in made], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "c", "s"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x, SHINGLE), np.frombuffer(y, SHINGLE)
+                both = common(x, y)
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    got = docs.select(key(F.col("doc_id")).alias("doc"), "text").mapInArrow(sets, "doc long, c long, s binary")
+    got = docs.select(_key(F.col("doc_id")).alias("doc"), "text").mapInArrow(sets, "doc long, c long, s binary")
     x, y = got.alias("x"), got.alias("y")
     left = pairs.join(x, (F.col("a") == F.col("x.c")) & (F.col("a_doc") == F.col("x.doc"))).select("a", "b", "b_doc", F.col("x.s").alias("s1"))
     both = left.join(y, (F.col("b") == F.col("y.c")) & (F.col("b_doc") == F.col("y.doc"))).select("a", "b", "s1", F.col("y.s").alias("s2"))
     return cut(both.mapInArrow(linked, "a long, b long").distinct())
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of table, one row for each key and ``of``, the number of rows that have it.
+
+    Keys of more than max(CROWD, total / 1000) of the ``total`` rows, fewer than 1000 keys then, are broadcast; so no
+    task gets more than that many rows of one key.
+    """
+    crowd = max(CROWD, total // 1000)
+    hot = F.broadcast(table.where(F.col("of") > crowd).drop("of"))
+    cold = table.where(F.col("of") <= crowd).drop("of")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b); label is the component's smallest node.
 
@@ -455,11 +493,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, F.col("u") == F.col("k"))
-        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of")).select("u", F.least("u", "m").alias("m"), "of")
+        large = joined(both.where("v > u"), low, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of"))
+        small = joined(large, least, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
 
@@ -483,21 +521,27 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Empty and null
     texts have no shingles and are linked with nothing. Repeated rows are documents of one class. A null doc_id
     stays null, and its component_id is the smallest other one, if any. An empty table gives an empty result.
-    Every document, shingle and linked pair counts; neither groups nor partners are capped.
+    Every document, shingle and linked pair counts; neither groups nor partners are capped. Words, shingles and sets
+    are compared by digests of 128 bits; candidates are sought by the first half of shingles' (two shingles of one
+    set that share a half would count as one there: a chance of 10^-11 for a set of 10,000).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own, sketch, total = document_classes(docs, words)
+    own, classes, taken, sketch, total = document_classes(docs, words)
     parts = max(LEAST_PARTS, total // 2_000_000)
-    live = cut(live_postings(docs, words, percent, sketch, total, parts))
+    live = cut(live_postings(docs, words, percent, taken, sketch, total, parts))
     near = None
     for way in ("stars", "few", "all"):
-        near = relabelled(near, verified(docs, own, candidates(live, near, percent, parts, way), words, percent))
-    labelled = own.join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "class")))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("class"))
+        near = relabelled(near, verified(docs, classes, taken, candidates(live, near, percent, parts, way), words, percent))
+    labelled = cut(classes.where("n > 0").join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    n_classes, n_docs = labelled.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    found = joined(labelled.select("class", "docs", "label"), least, "label", n_classes).select("class", "component_id", F.col("docs").alias("of"))
+    linked = joined(own.where("n > 0"), cut(found), "class", n_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
+    return linked.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of all documents: shingles of three words, links of 0.9 or more."""
     return similar_components(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.default_rng(20250101)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_ODD = _rng.integers(0, 2**64, 4, np.uint64) | np.uint64(1)
-_STEP = int(_rng.integers(0, 2**63)) * 2 + 1
-_POWERS = [np.ones(1, np.uint64)]
+_ODD = _rng.integers(0, 2**64, 24, np.uint64) | np.uint64(1)
+#: Longer words are hashed by a cryptographic digest, each on its own.
+LONG = 64
+#: A shingle's hash: 128 bits. h alone orders sets and names shingles in candidates.
+SHINGLE = np.dtype([("h", "<u8"), ("g", "<u8")])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -26,55 +31,78 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of the step, by position in a word."""
-    if len(_POWERS[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _POWERS[0] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(m - 1, _STEP, np.uint64), dtype=np.uint64)])
-    return _POWERS[0]
-
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of all words, and the number of words of each text.
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    A word's bytes are mixed in eight at a time, which leaves no structure that unlike words could share.
+    """
+    raw = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
     if lower:
         raw = _LOWER[raw]
     space = _SPACE[raw]
-    word = ~space
-    starts = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, bounds))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    at = np.flatnonzero(word)
-    lengths = np.diff(np.append(np.searchsorted(at, starts), len(at)))
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(first, lengths)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), counts
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    lengths = ends - starts
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,))
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_BYTE[raw[at]] * powers(int(lengths.max()))[place], first)
-        return mixed(h + lengths.astype(np.uint64) * _ODD[3]), counts
+        h, g = lengths.astype(np.uint64) * _ODD[3], lengths.astype(np.uint64) * _ODD[4]
+        some, k = np.arange(len(starts)), 0
+        while len(some):
+            x = eight[starts[some] + k] & _MASK[np.minimum(lengths[some] - k, 8)]
+            h[some] = mixed(h[some] ^ x)
+            g[some] = mixed((g[some] + x) * _ODD[5])
+            k += 8
+            some = some[lengths[some] > k] if k < LONG else some[:0]
+    for w in np.flatnonzero(lengths > LONG).tolist():
+        digest = hashlib.blake2b(raw[starts[w] : ends[w]].tobytes(), digest_size=16).digest()
+        h[w], g[w] = np.frombuffer(digest, "<u8")
+    return h, g, counts
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    order = np.argsort(h)
+    out = np.empty(len(h), SHINGLE)
+    out["h"], out["g"] = h[order], g[order]
+    same = out["h"][1:] == out["h"][:-1]
+    if not same.any():
+        return out
+    if (same & (out["g"][1:] != out["g"][:-1])).any():  # unlike shingles with one first half
+        out = out[np.lexsort((out["g"], out["h"]))]
+    return out[np.concatenate([[True], (out["h"][1:] != out["h"][:-1]) | (out["g"][1:] != out["g"][:-1])])]
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets share."""
+    if (x["h"][1:] == x["h"][:-1]).any() or (y["h"][1:] == y["h"][:-1]).any():
+        return len(set(x.tolist()) & set(y.tolist()))
+    _, i, j = np.intersect1d(x["h"], y["h"], assume_unique=True, return_indices=True)
+    return int((x["g"][i] == y["g"][j]).sum())
 
 
 def shingle_sets(texts: list[bytes], n: int = 3, lower: bool = True) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of n words; of fewer words, the whole sequence's."""
     out: list[np.ndarray] = []
-    h, counts = word_hashes(texts, lower)
+    h, g, counts = word_hashes(texts, lower)
     with np.errstate(over="ignore"):
-        rolled = np.zeros(len(h), np.uint64)
+        rolled, other = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
         for k in range(n):
-            part = h[k:] if k else h
+            part, more = h[k:], g[k:]
             rolled[: len(part)] = mixed(rolled[: len(part)] + part) * _ODD[0]
+            other[: len(more)] = other[: len(more)] * _ODD[6] + more
         rolled = mixed(rolled)
         end = np.cumsum(counts)
         for e, c in zip(end.tolist(), counts.tolist(), strict=True):
             if c >= n:
-                out.append(np.unique(rolled[e - c : e - n + 1]))
+                out.append(_distinct(rolled[e - c : e - n + 1], other[e - c : e - n + 1]))
             elif c:
-                x = np.array([c], np.uint64) * _ODD[1]
-                for w in h[e - c : e]:
-                    x = mixed(x + w) * _ODD[2]
-                out.append(mixed(x))
+                x, y = (np.array([c], np.uint64) * _ODD[k] for k in (1, 7))
+                for w, v in zip(h[e - c : e], g[e - c : e], strict=True):
+                    x, y = mixed(x + w) * _ODD[2], mixed(y + v) * _ODD[8]
+                out.append(_distinct(mixed(x), y))
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append(np.zeros(0, SHINGLE))
     return out
