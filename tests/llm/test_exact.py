@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, induced, jaccard, lines, substrings
-from tidemark.llm.shingles import common, shingle_sets
+from tidemark.llm import common, fingerprints, induced, jaccard, lines, substrings
+from tidemark.llm import shingles as shingles_of
+from tidemark.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,6 +106,29 @@ def test_lines(corpus, run):
     assert removed > 50
 
 
+def test_line_fingerprints_are_fewer_than_windows_and_span_edges(spark):
+    """One position for each window minimum; runs that begin, end or meet at a fingerprint, and equal lines in a row."""
+    rng = random.Random(3)
+    names = [f"line number {k}" for k in range(12)]
+    data = [(k, "\n".join(rng.choice(names) for _ in range(rng.randint(0, 14)))) for k in range(60)]
+    data += [(60, "a\na\na\na"), (61, "a\na"), (62, "a"), (63, "\n\n a \n\na"), (64, " ".join(["w"] * 50)), (65, "x\n" + " ".join(["w"] * 50) + "\ny")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for run in (2, 3, 4):
+        want = plain_lines(data, run, 50)
+        got = {r.doc_id: r for r in lines.dedup_lines(df, run).collect()}
+        for i, text in data:
+            gone = want[(False, i, text)]
+            assert got[i].text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), (run, i)
+        windows = sum(max(0, len([x for x in t.split("\n") if x.strip()]) - run + 1) for _, t in data)
+        assert lines.fingerprints(df.withColumn("same", F.xxhash64("text")), run, 50).count() < windows
+
+
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, "z\na\nb")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_id", "_text", "_removed", "_same", "row", "at", "fp", "window")})
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert got[2].text == "z" and got[1].text == "a\nb\nc" and got[2]["_same"] == "x" and set(got[1].asDict()) == {*df.columns, "n_lines", "n_removed"}
+
+
 def test_lines_odd(odd, empty):
     assert lines.dedup_lines(empty).count() == 0
     got = lines.dedup_lines(odd[0]).collect()
@@ -172,14 +196,14 @@ def test_classes_with_one_first_half_go_by_the_second():
     assert jaccard.class_of(s, frozenset()) == first and jaccard.class_of(s, frozenset([first])) == second
     assert jaccard.halves(s[:0]) == (0, 0)
     double = np.array([(1, 2), (1, 3), (2, 2)], s.dtype)
-    assert common(double, double[1:]) == 2 and common(double[1:], double[::2]) == 1
+    assert shingles_of.common(double, double[1:]) == 2 and shingles_of.common(double[1:], double[::2]) == 1
 
 
 def test_a_crowded_key_is_joined_whole(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CROWD", 3)
+    monkeypatch.setattr(common, "CROWD", 3)
     rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(60)], "u long, x long")
     of = rows.groupBy("u").agg(F.count("*").alias("of"), F.max("x").alias("m"))
-    assert sorted(map(tuple, jaccard.joined(rows, of, "u", 60).collect())) == sorted(map(tuple, rows.join(of.drop("of"), "u").collect()))
+    assert sorted(map(tuple, common.joined(rows, of, ["u"], 60).collect())) == sorted(map(tuple, rows.join(of.drop("of"), "u").collect()))
 
 
 def test_jaccard_odd(odd, empty):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key of more rows than this, and than a thousandth of them all, is joined by broadcast.
+CROWD = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +36,15 @@ def partitions(df: DataFrame) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of table, one row for each value of ``keys`` and ``of``, the number of rows that have it.
+
+    Those of more than max(CROWD, total / 1000) of the ``total`` rows, fewer than 1000 then, are broadcast; so no
+    task gets more than that many rows of one key. Keys aren't null.
+    """
+    crowd = max(CROWD, total // 1000)
+    hot = F.broadcast(table.where(F.col("of") > crowd).drop("of"))
+    cold = table.where(F.col("of") <= crowd).drop("of")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys))

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
-from tidemark.llm.shingles import SHINGLE, common, mixed, shingle_sets
+from tidemark.llm.common import cut, joined, table
+from tidemark.llm.shingles import common, mixed, shingle_sets
 
 #: The frequency sketch has 2**SKETCH_BITS counters, at any size of input; it decides costs, never results.
 SKETCH_BITS = 21
@@ -40,11 +40,13 @@ LARGE, BLOCK = 128, 2048
 #: number follows the data, not the session's partitions, since parts send rows to parts.
 LEAST_PARTS = 24
 #: Partners that the second round keeps for each class.
-FEW = 32
-#: A key of more rows than this, and than a thousandth of them all, is joined by broadcast.
-CROWD = 1000
+FEW = 8
 #: Bits of the Bloom filter that spares the shuffle sets which no candidate pair needs.
 BLOOM_BITS = 26
+#: A shingle of a set that is sent to be verified: 96 bits of its hash.
+SENT = np.dtype([("h", "<u8"), ("g", "<u4")])
+#: A task of the components takes so many links at least.
+LINKS = 1 << 18
 _ROWS = "part int, kind int, data binary"
 _POSTING = np.dtype([("t", "<u8"), ("c", "<u8")])
 _CLASS = np.dtype([("c", "<u8"), ("n", "<i8"), ("l", "<i8")])
@@ -450,13 +452,13 @@ def verified(docs: DataFrame, classes: DataFrame, taken: Taken, pairs: DataFrame
             batch = batch.filter(pa.array((has[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
             made = list(_sets(batch, words))
             c = np.array([class_of(s, taken) for s in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "c", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array([s.astype(SENT).tobytes() for s in made], pa.binary())], ["doc", "c", "s"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, SHINGLE), np.frombuffer(y, SHINGLE)
+                x, y = np.frombuffer(x, SENT), np.frombuffer(y, SENT)
                 both = common(x, y)
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -468,36 +470,55 @@ def verified(docs: DataFrame, classes: DataFrame, taken: Taken, pairs: DataFrame
     return cut(both.mapInArrow(linked, "a long, b long").distinct())
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with the columns of table, one row for each key and ``of``, the number of rows that have it.
-
-    Keys of more than max(CROWD, total / 1000) of the ``total`` rows, fewer than 1000 keys then, are broadcast; so no
-    task gets more than that many rows of one key.
-    """
-    crowd = max(CROWD, total // 1000)
-    hot = F.broadcast(table.where(F.col("of") > crowd).drop("of"))
-    cold = table.where(F.col("of") <= crowd).drop("of")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of a task as stars, about LINKS of them at a time: a node and the smallest that they reach."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        u, v, top = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+        while True:
+            low = top.copy()
+            np.minimum.at(low, u, top[v])
+            np.minimum.at(low, v, top[u])
+            np.minimum.at(low, top, low[np.arange(len(top))])
+            low = low[low]
+            if (low == top).all():
+                break
+            top = low
+        some = top != np.arange(len(top))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[top[some]])], ["u", "v"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        if sum(len(u) for u, _ in held) >= LINKS:
+            yield stars(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield stars(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b); label is the component's smallest node.
 
-    Large stars and small stars in turn until nothing changes; each round is cut off by a checkpoint. No
-    component is gathered in one place: a round takes minima by node and joins them back.
+    Each task first reduces its links to stars, so that few are left. Then large stars and small stars in turn until
+    nothing changes; each round is cut off by a checkpoint. No component is gathered in one place: a round takes
+    minima by node and joins them back.
     """
-    now, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = max(4, links.count() // LINKS)
+    now, before = cut(links.coalesce(tasks).mapInArrow(contracted, "u long, v long").distinct()), None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of")).select("u", F.least("u", "m").alias("m"), "of")
-        large = joined(both.where("v > u"), low, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of"))
-        small = joined(large, least, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        small = large.join(least, F.col("u") == F.col("k"))
+        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
 
@@ -521,8 +542,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Empty and null
     texts have no shingles and are linked with nothing. Repeated rows are documents of one class. A null doc_id
     stays null, and its component_id is the smallest other one, if any. An empty table gives an empty result.
-    Every document, shingle and linked pair counts; neither groups nor partners are capped. Words, shingles and sets
-    are compared by digests of 128 bits; candidates are sought by the first half of shingles' (two shingles of one
+    Every document, shingle and linked pair counts; neither groups nor partners are capped. Words and sets are
+    compared by hashes of 128 bits, shingles by 96; candidates are sought by the first half of shingles' (two shingles of one
     set that share a half would count as one there: a chance of 10^-11 for a set of 10,000).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -535,8 +556,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     labelled = cut(classes.where("n > 0").join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
     n_classes, n_docs = labelled.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    found = joined(labelled.select("class", "docs", "label"), least, "label", n_classes).select("class", "component_id", F.col("docs").alias("of"))
-    linked = joined(own.where("n > 0"), cut(found), "class", n_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
+    found = joined(labelled.select("class", "docs", "label"), least, ["label"], n_classes).select("class", "component_id", F.col("docs").alias("of"))
+    linked = joined(own.where("n > 0"), cut(found), ["class"], n_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
     return linked.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class"))
 
 
