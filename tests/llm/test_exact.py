@@ -77,7 +77,7 @@ def plain_lines(data, run, long_line):
     docs = {(i is None, i or 0, t): None for i, t, *_ in data if t is not None}
     seen, gone = {}, {}
     for key in sorted(docs):
-        full = [(k, x.strip(" ")) for k, x in enumerate(key[2].split("\n")) if x.strip(" ")]
+        full = [(k, x.strip(" \t\v\f\r")) for k, x in enumerate(key[2].split("\n")) if x.strip(" \t\v\f\r")]
         out = gone[key] = set()
         for k in range(len(full)):
             windows = [full[k : k + run]] if k + run <= len(full) else []
@@ -123,6 +123,12 @@ def test_line_fingerprints_are_fewer_than_windows_and_span_edges(spark):
         assert lines.fingerprints(df.withColumn("same", F.xxhash64("text")), run, 50).count() < windows
 
 
+def test_lines_end_in_carriage_returns(spark):
+    data = [(1, "one line\nanother line\nlast"), (2, "first\r\none line\r\nanother line\r\n\r\n\r\nend"), (3, "q\r\n\r\n\t\r\n\r\nr"), (4, "s\r\n\r\n\t\r\n\r\nt")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: (0, data[0][1]), 2: (2, "first\r\n\r\n\r\nend"), 3: (0, data[2][1]), 4: (0, data[3][1])}
+
+
 def test_lines_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a\nb\nc"), (2, "z\na\nb")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_id", "_text", "_removed", "_same", "row", "at", "fp", "window")})
     got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}

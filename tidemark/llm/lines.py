@@ -9,6 +9,8 @@ from tidemark.llm.common import WORD, cut, joined, table
 
 #: A repeated run has this many lines at least, or is one line of this many words at least.
 RUN, LONG_LINE = 2, 50
+#: What is trimmed of lines: the word separators but for the newline.
+SPACES = " \t\v\f\r"
 
 
 def _least(window: Column) -> Column:
@@ -19,12 +21,12 @@ def _least(window: Column) -> Column:
 def fingerprints(docs: DataFrame, run: int, long_line: int) -> DataFrame:
     """doc_id, same, fp, k, around, long: one row for each selected line.
 
-    Lines are trimmed, blank ones don't count. Selected is the smallest hash of each window of ``run`` lines (the last
+    Lines are trimmed of white space, blank ones don't count. Selected is the smallest hash of each window of ``run`` lines (the last
     of equal ones), once where several windows have it, and each long line. So every run of ``run`` lines holds a
     selected one, and equal runs have it at the same place. around: the ``run`` - 1 lines to either side and the line
     itself, each with its hash h, its number k among the lines that count and its number i in the text.
     """
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(SPACES)).alias("x")))
     full = F.transform(
         F.filter(lines, lambda s: s["x"] != ""),
         lambda s, k: F.struct(s["i"].alias("i"), (k + 1).alias("k"), F.xxhash64(s["x"]).alias("h"), F.when(F.regexp_count(s["x"], F.lit(WORD)) >= long_line, F.xxhash64(s["x"], F.lit("line"))).alias("long")),
@@ -98,7 +100,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(run: int, long_line: int) -> str:
     window = " || chr(10) || ".join(f"lead(x, {j}) over w" if j else "x" for j in range(run))
     return rf"""
-with l as (select doc_id, text, unnest(range(len(string_split(text, chr(10)))))::int as i, trim(unnest(string_split(text, chr(10)))) as x from documents where text is not null),
+with l as (select doc_id, text, unnest(range(len(string_split(text, chr(10)))))::int as i, trim(unnest(string_split(text, chr(10))), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as x from documents where text is not null),
 f as (select * from l where x <> ''),
 k as (select doc_id, text, i, {window} as key, array[{", ".join(f"lead(i, {j}) over w" if j else "i" for j in range(run))}] as ats from f window w as (partition by doc_id, text order by i)),
 a as (select doc_id, text, i, key, ats from k where key is not null
