@@ -52,6 +52,40 @@ def test_fingerprints(corpus):
     assert np.mean(errors) < 0.03 and max(errors) < 0.2
 
 
+@pytest.mark.parametrize("case", ["outlier", "range", "multiples", "one", "null", "few"])
+def test_next_documents_by_any_ids(spark, case):
+    rng = random.Random(9)
+    n = 900
+    ids = {
+        "outlier": [*range(n - 1), 2**62], "range": [-(2**63), 2**63 - 1, *(rng.randrange(-(2**63), 2**63) for _ in range(n - 2))], "multiples": [k * 2**40 + k % 3 for k in range(n)],
+        "one": [7] * n, "null": [None] * n, "few": [[1, 2, None][k % 3] for k in range(n)],
+    }[case]
+    rows = [(i, f"text number {k} " * (k % 5)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = fingerprints.neighbours(df)
+    assert near.where("guest = 0").count() == n
+    sizes = {tuple(r.bucket): r["count"] for r in near.where("guest = 0").groupBy("bucket").count().collect()}
+    assert max(sizes.values()) <= 4 * 64 + 180  # equal rows, here the empty texts of one id, stay together
+    got = fingerprints.fingerprint_documents(df).collect()
+    assert len(got) == n
+    if case in ("outlier", "range", "multiples"):
+        order = sorted(rows, key=lambda r: -r[0])
+        want = {}
+        for k, (i, text) in enumerate(order):
+            half = len(text) // 2
+            want[i] = hashlib.sha256((text[: len(text) - half] + order[(k + 1) % n][1][:half]).encode()).hexdigest()
+        assert {r.doc_id: r.edited_sha256 for r in got} == want
+
+
+def test_containment_of_parts(spark):
+    words = [f"w{k}" for k in range(400)]
+    pairs = [(" ".join(words[:a]), " ".join(words[b:c])) for a, b, c in ((100, 0, 400), (400, 0, 100), (200, 100, 300), (50, 60, 90))]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
+    for r in df.select("a", "b", fingerprints.containment(F.col("x"), F.col("y")).alias("c")).collect():
+        x, y = shingles(r.a, 5), shingles(r.b, 5)
+        assert abs(r.c - len(x & y) / len(x)) < 0.15
+
+
 def test_sketches_merge(spark):
     rng = random.Random(2)
     a, b = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 300)) for _ in range(3000)) for _ in range(2))

@@ -241,6 +241,26 @@ def test_mixing(corpus):
     assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
 
 
+def test_blocks_fill_evenly_under_any_ids(spark):
+    for ids in ([k * 1024 for k in range(3000)], [None] * 3000):
+        rows = [(i, f"some words of document {k}", "s") for k, i in enumerate(ids)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert got.count() == 3000 and got.agg(F.sum("taken")).first()[0] == 1.5 * 5 * 3000
+
+
+def test_mixed_rows_are_those_that_the_mix_drew(spark):
+    rows = [(None if k % 2 else 5, f"text {k // 3 % 40} of some words", "a" if k % 5 else None, k % 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").withColumns({c: F.lit("x") for c in ("_id", "_source", "_size", "_copies", "_copy", "row", "copies", "hash")})
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    want = mixing.mix(df).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()
+    got = {(r.doc_id, r.source): r["count"] for r in out.groupBy("doc_id", "source").count().collect()}
+    assert got == {(r.doc_id, r.source): r.n for r in want if r.n}
+    most = out.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0]
+    times = df.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * times
+
+
 def test_mixing_odd(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(odd[0]).count() == len(odd[1])

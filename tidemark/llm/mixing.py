@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, cut, table
@@ -39,6 +39,14 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     )
 
 
+#: What names a row: its id and source, and both hashes of its text.
+_KEY = ["hash", "more", "doc_id", "source"]
+
+
+def _named(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("hash"), F.xxhash64(text, F.lit(1)).alias("more"), doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source")]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs.
 
@@ -50,11 +58,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     expectation, no document is taken more than ceil(most) times.
 
     The prefix sums are in two levels, blocks and rows within a block, so no source is gathered in one task.
+    A row's block follows from a digest of its id and text, so ids of any pattern, or none, fill blocks evenly.
     Null sources form one source, the last; null ids come first in a block; rows with equal id and size
     are interchangeable. An empty table gives an empty result. A source without words has target 0.
     """
+    return _mix(docs, weights, share, most, seed).drop("hash", "more")
+
+
+def _mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    rows = docs.select(*_named(F.col("doc_id"), F.col("source"), F.col("text")), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("draw"))
     bits = F.length(F.bin("size"))
     lead = F.when(bits >= 3, F.expr("shiftright(size, length(bin(size)) - 3)") - 4).otherwise(F.lit(0))
     rows = cut(rows.withColumn("class", (bits * 4 + lead).cast("int")))
@@ -66,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
     targets = source_targets(per_class.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
 
-    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).select("doc_id", "source", "size", "class", F.coalesce(F.pmod("doc_id", "n_blocks"), F.lit(0)).alias("block"))
+    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).select(*_KEY, "size", "class", (F.col("draw") % F.col("n_blocks")).alias("block"))
     per_block = rows.groupBy("source", "class", "block").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0).alias("offset")
@@ -81,30 +95,38 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("block") == F.col("b")))
         .withColumn("row", F.col("row") + F.col("ahead"))
         .withColumn("copies", (upto(F.col("row")) - upto(F.col("row") - 1)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "hash", "more")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as ``mix`` takes it, 0 times or more; copies are equal rows.
 
-    Rows with equal id, source and size all get the largest number of copies among them.
+    Rows with equal id, source and text share the copies that ``mix`` gives them, as evenly as can be. Other columns
+    stay, whatever their names; an empty table gives an empty one.
     """
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    own = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    taken = cut(_mix(docs, **options).groupBy(*_KEY).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0"))
+    taken = taken.select(*(F.col(c).alias(f"t_{c}") for c in taken.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row).select("row", *_named(F.col("row.doc_id"), F.col("row.source"), F.col("row.text")))
+    same = (F.col("hash") == F.col("t_hash")) & (F.col("more") == F.col("t_more")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source"))
+    once = own.join(taken.where("t_rows = 1"), same).select("row", F.col("t_copies").alias("copies"))
+    turn = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.to_json("row")))
+    again = own.join(taken.where("t_rows > 1"), same).withColumn("turn", turn)
+    shared = F.expr("t_copies div t_rows") + (F.col("turn") <= F.col("t_copies") % F.col("t_rows")).cast("long")
+    every = once.unionByName(again.select("row", shared.alias("copies"))).where("copies > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and source of all documents, weights 5, 2, 1 and 150 %."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 QUERIES = {"op7_mixing": op7_mixing}
 ORACLES = {
     "op7_mixing": rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 8))::bigint as draw, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 e as (select *, length(bin(size)) * 4 + case when length(bin(size)) >= 3 then (size >> (length(bin(size)) - 3)) - 4 else 0 end as class from d),
 c as (select source, class, count(*) as n, sum(size) as size from e group by all),
 b as (select source, class, ceil(n / greatest({LEAST_BLOCK}, floor(sqrt((select count(*) from d)))))::bigint as n_blocks from c),
@@ -116,7 +138,7 @@ l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(source_si
 m as (select max(level) as level from l),
 t as (select source, source_size, least(source_size * 2.0::double, m.level * weight) as target from l, m),
 r as (select doc_id, e.source, size, source_size, target,
-  row_number() over (partition by e.source order by e.class, coalesce(((doc_id % n_blocks) + n_blocks) % n_blocks, 0), size, doc_id nulls first) as k
+  row_number() over (partition by e.source order by e.class, draw % n_blocks, size, doc_id nulls first) as k
   from e join b on e.source is not distinct from b.source and e.class = b.class join t on e.source is not distinct from t.source),
 x as (select *, case when source_size > 0 then target / source_size else 0 end as rate, ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::bigint / 4294967296.0::double as u from r),
 y as (select *, (floor(rate * k + u) - floor(rate * (k - 1) + u))::bigint as copies from x)
