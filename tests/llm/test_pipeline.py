@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
-from tidemark.llm import quality
+from tidemark.llm import mixing, quality
 
-from .test_exact import plain_lines, shingles
+from .test_exact import plain_lines, plain_links, shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +27,7 @@ def test_stages(spark, folder, tmp_path):
     before = {}
     for name, stage in P.STAGES:
         held = {r.doc_id: r for r in docs.collect()} if name != "tokens" else {}
+        docs_before = docs
         out = stage(spark, docs, folder)
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
@@ -57,9 +59,13 @@ def test_stages(spark, folder, tmp_path):
                     if a < b and sets[a] and sets[b]:
                         assert 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
             assert all(i in kept for i in held if not sets[i])
+            links = plain_links([(i, r.text) for i, r in held.items()], 5, 80)
+            assert kept == {i for i, (n, least) in links.items() if not n or least == i}
         elif name == "mixing":
             before = {r.doc_id: r.text for r in rows}
             assert all(held[r.doc_id].text == r.text for r in rows)
+            copies = {r.doc_id: r.copies for r in mixing.mix(docs_before).collect()}
+            assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in copies.items() if n})
         else:
             import sentencepiece
 
@@ -71,6 +77,16 @@ def test_stages(spark, folder, tmp_path):
                 assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_one_row_of_a_component_stays(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, words), (None, words + " x"), (None, words), (4, "other words here"), (4, words + " y"), (None, ""), (None, ""), (None, None), (9, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or -1, r.text or "") for r in P.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(4, words + " y"), (4, "other words here"), (-1, ""), (-1, ""), (-1, ""), (9, " \t")])
+    nulls = docs.where("doc_id is null")
+    assert P.near_duplicates(spark, nulls, "").where("text like 'w%'").count() == 1
+
+
 def test_run(spark, folder):
     assert P.run(spark, folder).count() > 50
 

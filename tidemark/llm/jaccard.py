@@ -111,7 +111,7 @@ def _joined(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
 
 
 def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, Taken, bytes, int]:
-    """(doc_id, n, class) of each document; (class, doc, least, docs) of each class; classes that go by the second
+    """(doc_id, hash, n, class) of each document; (class, doc, least, docs) of each class; classes that go by the second
     half of their digests; the sketch, a byte for each counter; all distinct shingles' number.
 
     Each task counts in an array of bounded size; the arrays are summed in slices, and what comes to the driver
@@ -122,7 +122,7 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ids, n, own = batch.column(0), [], []
             for s in _sets(batch, words):
@@ -134,11 +134,11 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame,
                         seen.add(c)
                     np.add.at(counts, (s["h"] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none, digests = pa.nulls(len(n), pa.int32()), np.array(own, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), none, pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), none, pa.nulls(len(n), pa.binary())], schema=schema)
         if counts.any():
             data = [pa.compress(counts[k * width : (k + 1) * width].tobytes(), "zstd", asbytes=True) for k in range(slices)]
             empty = pa.nulls(slices, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(range(slices), pa.int32()), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(range(slices), pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
@@ -147,13 +147,13 @@ def document_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame,
         logs = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
-    all_rows = cut(docs.mapInArrow(run, "doc_id long, n long, first long, second long, slice int, counts binary"))
+    all_rows = cut(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, first long, second long, slice int, counts binary"))
     got = all_rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, logs binary, total long").collect()  # 32 rows of 64 kB
     sketch = b"".join(bytes(r["logs"]) for r in sorted(got, key=lambda r: r["slice"]))
     taken: set[int] = set()
     while True:
         name = F.when(F.col("first").isin(list(taken)), F.col("second")).otherwise(F.col("first")) if taken else F.col("first")
-        own = all_rows.where("slice is null").select("doc_id", "n", "second", name.alias("class"))
+        own = all_rows.where("slice is null").select("doc_id", "hash", "n", "second", name.alias("class"))
         classes = cut(own.groupBy("class").agg(F.min(_key(F.col("doc_id"))).alias("doc"), F.min("doc_id").alias("least"), F.count("*").alias("docs"), F.max("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")))
         double = classes.where("low <> high").select("class").collect()  # by chance: rows^2 / 2^65 of them
         if not double:
@@ -535,11 +535,12 @@ def relabelled(near: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, class for each row of docs.
+    """doc_id, hash (of the text), n_shingles, component_id, component for each row of docs.
 
     Words are runs of other than space and \\t to \\r, lower-cased from A to Z; a document's set has the hashes
     of its runs of ``words`` words, or of its whole sequence if that is shorter. Documents are linked when
-    100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Empty and null
+    100 * intersection >= percent * union; component_id is the smallest doc_id that links reach, component a number
+    that tells components apart whatever their ids. Empty and null
     texts have no shingles and are linked with nothing. Repeated rows are documents of one class. A null doc_id
     stays null, and its component_id is the smallest other one, if any. An empty table gives an empty result.
     Every document, shingle and linked pair counts; neither groups nor partners are capped. Words and sets are
@@ -556,9 +557,9 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     labelled = cut(classes.where("n > 0").join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
     n_classes, n_docs = labelled.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    found = joined(labelled.select("class", "docs", "label"), least, ["label"], n_classes).select("class", "component_id", F.col("docs").alias("of"))
-    linked = joined(own.where("n > 0"), cut(found), ["class"], n_docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
-    return linked.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "class"))
+    found = joined(labelled.select("class", "docs", "label"), least, ["label"], n_classes).select("class", "component_id", F.col("label").alias("component"), F.col("docs").alias("of"))
+    linked = joined(own.where("n > 0"), cut(found), ["class"], n_docs).select("doc_id", "hash", F.col("n").alias("n_shingles"), "component_id", "component")
+    return linked.unionByName(own.where("n = 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
