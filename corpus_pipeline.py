@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import WORD, table
 from tidemark.llm.jaccard import similar_components
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.mixing import mixed_documents
@@ -20,7 +20,10 @@ REJECT = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the quality classifier doesn't reject."""
+    """Keep the documents that the quality classifier doesn't reject, by the text alone.
+
+    Equal texts share their fate; a null text is judged as an empty one. An empty table gives an empty one.
+    """
     return classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), REJECT).where("predicted = 1").select(*COLUMNS)
 
 
@@ -32,22 +35,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of likeness 0.8 or more connect, the one with the smallest doc_id stays.
+    """Of documents that links of likeness 0.8 or more connect, one row stays: the one with the smallest doc_id.
 
-    Texts without words are linked with nothing and stay. Of rows with the same id and text one stays.
+    Null ids come last, equal ones go by a hash of the text; of rows with the same id and text one stays. Texts
+    without words are linked with nothing, and all their rows stay. An empty table gives an empty one.
     """
-    found = similar_components(docs, words=5, percent=80)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    found = similar_components(docs, words=5, percent=80).where("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("id"), F.col("first.hash").alias("hash"))
+    own = docs.where(~wordless).join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_semi")
+    return own.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(wordless)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as the mix takes it; copies are equal rows."""
+    """Emit each document as often as the mix takes it, 0 times or more; copies are equal rows.
+
+    Null sources are one source; texts without words have size 0, and are taken by the same rate. An empty table gives
+    an empty one.
+    """
     return mixed_documents(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode each document of the mix."""
+    """Encode and decode each document of the mix: a row for each row, null texts as empty ones."""
     return encode_documents(docs, default_model())
 
 
