@@ -12,7 +12,7 @@ from tidemark.plans.expr import close, ema, ma, ts_std
 from tidemark.sources import bars as B
 from tidemark.sources.simulation import simulate
 from tidemark.sources.store import Store
-from tidemark.streaming.engine import replay, stream_factors
+from tidemark.streaming.engine import evaluate_ticks, replay, stream_count_bars, stream_factors
 
 
 def candle(symbol, ts, o, h, low, c, v, confirm="1"):
@@ -142,7 +142,41 @@ def test_engine(spark, tmp_path):
     assert run.get_factor_outputs().first()["m"] == pytest.approx(last["m"]) and run.get_factor_outputs(["B"]).count() == 0
     assert sorted(r.bar_index for r in run.signal_rows().collect()) == [38, 39, 40]
     run.reset()
-    run.start(source)
-    run.wait()
-    assert run.bars_pushed() == 40
-    run.stop()
+    more = simulate(spark, ["A", "B"], 60, seed=9)
+    more.coalesce(1).write.parquet(f"{tmp_path}/more")
+    again = Engine(spark, e, f"{tmp_path}/engine", window=10)  # another process would find the run too
+    for r in (run, again):
+        r.start(spark.readStream.schema(bars.schema).parquet(f"{tmp_path}/more"))
+        r.wait()
+        assert r.bars_pushed() == 60 and r.bar_count("A") == r.bar_count("B") == 60
+        r.stop()
+
+
+def test_count_bars_of_a_stream(spark, tmp_path):
+    rows = simulate(spark, ["A", "B"], 23, seed=4).select("symbol", "ts", "seq", "open", "high", "low", "close", "vol").cache()
+    want = sorted(map(tuple, B.count_bars(rows, 5).select("symbol", "seq", "ts", "open", "high", "low", "close", "vol").collect()))
+    late = spark.sparkContext.accumulator(0)
+    for lo, hi in ((0, 7), (7, 8), (8, 23)):
+        rows.where(f"seq >= {lo} and seq < {hi} or seq = 2 and {lo} = 8").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        stream_count_bars(source, 5, late).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("symbol", "seq", "ts", "open", "high", "low", "close", "vol").collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) == 8
+    assert all(a[3:] == pytest.approx(b[3:]) for a, b in zip(got, want, strict=True))
+    assert late.value == 2  # the third row of both, once more
+
+
+def test_a_failing_tick_is_left_out(spark, tmp_path):
+    simulate(spark, ["A"], 4, seed=2).repartition(3).write.option("maxRecordsPerFile", 2).parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+
+    def tick(df, number):
+        seen.append(number)
+        if number == 0:
+            raise RuntimeError("once")
+
+    q = evaluate_ticks(source, tick, 0, f"{tmp_path}/c")
+    q.processAllAvailable()
+    assert q.isActive and len(seen) >= 2 and len(set(seen)) == len(seen)
+    q.stop()

@@ -120,7 +120,7 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
             return (s - r(least).median()).abs().rolling(t, min_periods=least).median().to_numpy()
         if op == "ts_mad_window":
             least = max(2, t // 2)
-            return r(least).apply(lambda a: np.median(np.abs((a := a[~np.isnan(a)]) - np.median(a))), raw=True).to_numpy()
+            return _window_mad(f, t, least)
         if op == "corr":
             return _corr(x, args[1], t) if t >= 2 else f * NAN
         if op == "cov":
@@ -140,6 +140,28 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
     raise NotImplementedError(op)
 
 
+def _medians(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median of each row's values without the missing ones, and how many there are."""
+    ordered, n = np.sort(rows, axis=1), (~np.isnan(rows)).sum(1)
+    at = np.arange(len(rows))
+    return (ordered[at, np.maximum(n - 1, 0) // 2] + ordered[at, np.minimum(n // 2, rows.shape[1] - 1)]) / 2, n
+
+
+def _window_mad(x: np.ndarray, t: int, least: int) -> np.ndarray:
+    """Median distance from the median in each window of t rows with ``least`` values; about 4 million values at a time."""
+    out = np.full(len(x), NAN)
+    if not len(x) or t < 1:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(t - 1, NAN), x]), t)
+    step = max(1, (1 << 22) // t)
+    for a in range(0, len(x), step):
+        rows = windows[a : a + step]
+        middle, n = _medians(rows)
+        far, _ = _medians(np.abs(rows - middle[:, None]))
+        out[a : a + step] = np.where(n >= least, far, NAN)
+    return out
+
+
 def evaluate(exprs: Mapping[str, Expr], columns: Mapping[str, np.ndarray], single: bool = False) -> dict[str, np.ndarray]:
     """Values of expressions over one symbol's rows in order; each distinct node is computed once.
 

@@ -17,13 +17,14 @@ from tidemark.functions.registry import FactorRegistry
 from tidemark.operators import native
 from tidemark.plans import oracle, planner
 from tidemark.plans.describe import describe
+from tidemark.plans.describe import rows as describe_rows
 from tidemark.plans.expr import (
     Expr, abs_, autocorr, autocorr_double, close, corr, cov, delay, ema, inv, log, ma, neg, sign, slog1p, sqr, tanh, treap_ts_rank, ts_diff, ts_ir, ts_kurt, ts_mad, ts_mad_window, ts_max, ts_max_diff, ts_med, ts_min, ts_min_diff,
     ts_minmax_diff, ts_pct, ts_rank, ts_skew, ts_std, ts_sum, ts_vari, ts_wma, ts_zscore, volume, x, y,
 )
 from tidemark.sources import bars as bar_sources
 from tidemark.sources.simulation import simulate
-from tidemark.streaming.engine import replay
+from tidemark.streaming.engine import replay, replay_through, stream_count_bars
 
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,7 +185,18 @@ _STREAMED = {"v": (x - ma(x, 20)) / ts_std(x, 20)}
 QUERIES["stream_replay"] = lambda spark, d: _rounded(replay(series(spark, d), _STREAMED, batches=3), ["v"])
 ORACLES["stream_replay"] = oracle.select("series", _STREAMED, ctes=SERIES, digits=DIGITS)
 
+
+def _streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of two ticks each, made over a stream of three micro-batches."""
+    one = ticks(spark, sf_dir).select("symbol", "ts", "seq", *(F.col("price").alias(f) for f in ("open", "high", "low", "close")), F.col("size").alias("volume"))
+    return replay_through(one, lambda source: stream_count_bars(source, 2), batches=3).withColumn("symbol", F.col("symbol").cast("string"))
+
+
+QUERIES["stream_count_bars"] = _streamed_bars
+ORACLES["stream_count_bars"] = f"with {BARS} select symbol, seq, ts, open, high, low, close, volume from bars"
+
 QUERIES["describe_factor"] = lambda spark, d: describe(spark, _registry.build("0012"))
+ORACLES["describe_factor"] = "select * from (values " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::double" if isinstance(v, float) else str(v) for v in row) + ")" for row in describe_rows(_registry.build("0012"))) + ") t(id, op, input_a, input_b, \"window\", lag, value, is_output)"
 QUERIES["simulated_bars"] = lambda spark, d: simulate(spark, ["BTC-USDT-SWAP", "ETH-USDT-SWAP"], 500, seed=7)
 
 _READY = {"v": ts_zscore(close - ma(close, 10), 20), "w": volume / ts_max(volume, 5)}

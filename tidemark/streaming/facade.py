@@ -70,12 +70,20 @@ class SignalEngine:
 class Engine:
     """A stream of bars kept in a store, and its factors beside it, under one folder that all executors see.
 
-    Starting again with the same folder goes on where the last run ended; ``reset`` takes a new state.
+    Starting again with the same folder goes on where the last run ended, in a new process too. ``reset`` begins a new
+    run, with a state, a store and factors of its own; the folders of earlier runs stay as they are.
     """
 
     def __init__(self, spark: SparkSession, engine: SignalEngine, folder: str, window: int | None = None, signals: int = 3):
         self.spark, self.engine, self.folder, self.signals = spark, engine, folder.rstrip("/"), signals
-        self.bars, self._run, self._queries = Store(spark, f"{self.folder}/bars", "bars", window), 0, []
+        self.window, self._queries = window, []
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs")
+        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._enter(max((int(f.getPath().getName()) for f in self._files.listStatus(path)), default=0) if self._files.exists(path) else 0)
+
+    def _enter(self, run: int) -> None:
+        self._run, self.bars = run, Store(self.spark, f"{self.folder}/runs/{run}/bars", "bars", self.window)
+        self._files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs/{run}"))
 
     def start(self, bars: DataFrame, **trigger) -> list[StreamingQuery]:
         """Two queries: bars to the store, factors to theirs. trigger: as of ``DataStreamWriter.trigger``."""
@@ -84,9 +92,9 @@ class Engine:
         trigger = trigger or {"availableNow": True}
 
         def sink(df: DataFrame, name: str) -> StreamingQuery:
-            return df.writeStream.format("parquet").partitionBy("symbol").option("path", f"{self.folder}/{name}").option("checkpointLocation", f"{self.folder}/state/{name}-{self._run}").trigger(**trigger).start()
+            return df.writeStream.format("parquet").partitionBy("symbol").option("path", f"{self.folder}/runs/{self._run}/{name}").option("checkpointLocation", f"{self.folder}/runs/{self._run}/state/{name}").trigger(**trigger).start()
 
-        self._queries = [sink(bars, "bars"), sink(self.engine.run_stream(bars), f"factors-{self._run}")]
+        self._queries = [sink(bars, "bars"), sink(self.engine.run_stream(bars), "factors")]
         return self._queries
 
     def wait(self) -> None:
@@ -99,10 +107,10 @@ class Engine:
 
     def reset(self) -> None:
         self.stop()
-        self._run += 1
+        self._enter(self._run + 1)
 
     def _outputs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/factors-{self._run}")
+        return self.spark.read.parquet(f"{self.folder}/runs/{self._run}/factors")
 
     def get_data(self, symbols: list[str] | None = None, limit: int | None = None) -> DataFrame:
         return self.bars.snapshot(symbols, limit)
