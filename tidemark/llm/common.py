@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints of frames that are no longer in use; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     """The session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, joined, table
+from tidemark.llm.common import cut, joined, release, table
 from tidemark.llm.shingles import common, mixed, shingle_sets
 
 #: The frequency sketch has 2**SKETCH_BITS counters, at any size of input; it decides costs, never results.
@@ -554,6 +554,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     near = None
     for way in ("stars", "few", "all"):
         near = relabelled(near, verified(docs, classes, taken, candidates(live, near, percent, parts, way), words, percent))
+        release(docs.sparkSession)
     labelled = cut(classes.where("n > 0").join(near.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class")))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
     n_classes, n_docs = labelled.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
