@@ -204,6 +204,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found of each row of embeddings whose vec_id is divisible by 100; odd vectors as in ``nearest``."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
 

@@ -242,6 +242,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents; odd rows as in ``find_pii``."""
     return find_pii(table(spark, sf_dir, "documents"))
 
 

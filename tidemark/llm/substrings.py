@@ -464,6 +464,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, memory: int = 128 << 20,
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes covered by a 100-byte string that starts earlier; odd rows as in ``remove_repeats``."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
