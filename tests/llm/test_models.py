@@ -133,6 +133,7 @@ def test_base_identifiers():
         ("john＠example．com", "email", "john＠example．com"),
         ("４９４４３３９４９０４２９６０５", "card", "４９４４３３９４９０４２９６０５"),
         ("four nine four four three three nine four nine zero four two nine six zero five", "card", "four nine four four three three nine four nine zero four two nine six zero five"),
+        ("card 4944 three 394 9042 nine 605 now", "card", "4944 three 394 9042 nine 605"),
         ("jo​hn@exa​mple.com", "email", "jo​hn@exa​mple.com"),
     ],
 )

@@ -152,7 +152,7 @@ def _spelled(match: re.Match) -> list[tuple[int, int, str]]:
     """Edits that turn a run of spelled digits into digits; the gaps next to words go."""
     units = [(m.start() + match.start(), m.end() + match.start(), m[0]) for m in _UNIT.finditer(match[0])]
     words = [u for u in units if u[2].lower() in _DIGIT_WORDS]
-    if len(words) < 3:
+    if not words:
         return []
     means = _DIGIT_WORDS | {"dot": ".", "point": ".", "dash": "-", "plus": "+"}
     worded = [u[2].lower() in means for u in units]
