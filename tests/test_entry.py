@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["operator_ts_rank", "operator_ema", "operator_corr", "factor_0041", "factor_0018", "bars_time", "tick_snapshot", "book_snapshot", "cross_section", "candles_parsed", "latest_factor", "factor_readiness"]
+SOME = ["operator_ts_rank", "operator_ema", "operator_corr", "factor_0041", "factor_0018", "bars_time", "tick_snapshot", "book_snapshot", "factor_bank", "factor_0044", "native_corr", "describe_factor", "cross_section", "candles_parsed", "latest_factor", "factor_readiness"]
 
 
 def test_names():

@@ -73,3 +73,24 @@ def test_single_precision(bars, bank):
     for bad in ({"precision": "half"}, {"precision": "single", "strategy": "native"}):
         with pytest.raises(ValueError):
             planner.compute(bars, some, **bad)
+
+
+def test_choice():
+    """Shifts and a few short light frames stay with Spark; long, costly and many ones go to the kernels."""
+    from tidemark.plans import expr as X
+
+    assert planner.choose({"v": X.ts_zscore(X.delay(X.x, 500), 30)}) == "native"
+    for e in (X.ma(X.x, 240), X.ts_rank(X.x, 30), X.corr(X.x, X.y, 5), X.ema(X.x, 3)):
+        assert planner.choose({"v": e}) == "arrow"
+
+
+def test_long_series_are_cut(bars, bank, monkeypatch):
+    """Beyond the estimate, keys' rows are counted, and long series are cut without a word from the caller."""
+    some = {"f_0001": bank["f_0001"]}
+    whole = planner.compute(bars, some, raw=True, slice_rows=0).toPandas().sort_values(["symbol", "seq"]).reset_index(drop=True)
+    monkeypatch.setattr(planner, "BIG", 0)
+    assert planner.slices(bars, ["symbol"]) == 0
+    monkeypatch.setattr(planner, "SLICE_ROWS", 50)
+    assert planner.slices(bars, ["symbol"]) == 50
+    cut = planner.compute(bars, some, raw=True).toPandas().sort_values(["symbol", "seq"]).reset_index(drop=True)
+    np.testing.assert_allclose(whole["f_0001"], cut["f_0001"], rtol=1e-9)

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidemark.operators import arrow
 from tidemark.plans import planner
 from tidemark.plans import expr as X
 
@@ -229,3 +230,23 @@ def test_missing_inputs(table):
         planner.compute(table, {"v": X.ma(X.close, 3)})
     got = planner.compute(table, {"v": X.ma(X.close, 3)}, allow_missing=True, raw=True)
     assert got.where("v is not null").count() == 0
+
+
+@pytest.mark.parametrize("op", ["ts_std", "ts_vari", "ts_zscore", "ts_skew", "ts_kurt", "ts_ir"])
+def test_extreme_values_leave_no_trace(op):
+    """An extreme value that has left the window has no share in what follows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=200)
+    x[20] = 1e12
+    e = X.Expr(op, (X.x,), 30)
+    after, alone = arrow.evaluate({"v": e}, {"x": x})["v"][60:], arrow.evaluate({"v": e}, {"x": x[30:]})["v"][30:]
+    assert np.allclose(after, alone, rtol=1e-12, atol=0)
+
+
+def test_extreme_pairs_leave_no_trace():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=200), rng.normal(size=200)
+    x[20] = 1e12
+    for e in (X.corr(X.x, X.y, 30), X.cov(X.x, X.y, 30)):
+        after, alone = (arrow.evaluate({"v": e}, {"x": x[k:], "y": y[k:]})["v"][60 - k :] for k in (0, 30))
+        assert np.allclose(after, alone, rtol=1e-12, atol=0)

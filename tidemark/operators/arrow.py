@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -40,13 +40,53 @@ def _shift(x: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
-def _corr(x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
+def _windows(x: np.ndarray, t: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Windows of t rows that end at each row, missing values before the first; about 4 million values at a time."""
+    step = max(1, (1 << 22) // t)
+    whole = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(t - 1, NAN), x]), t) if len(x) else np.zeros((0, t))
+    for a in range(0, len(x), step):
+        yield slice(a, a + step), whole[a : a + step]
+
+
+def _centred(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of rows, and the values less their row's mean, 0 for missing ones; exactly 0 in a row of equal values."""
+    pivot = np.nan_to_num(np.fmax.reduce(rows, axis=1))
+    near = np.nan_to_num(rows - pivot[:, None])
+    mean = near.sum(1) / n
+    return pivot + mean, np.where(np.isnan(rows), 0.0, near - mean[:, None])
+
+
+def _moments(x: np.ndarray, t: int, least: int, *powers: int) -> tuple[np.ndarray, ...]:
+    """Count, mean and sums of powers of deviations in each window, NaN for fewer than ``least`` values.
+
+    Each window is summed from scratch: sums that roll keep the rounding of an extreme value that has left.
+    """
+    out = tuple(np.full(len(x), NAN) for _ in range(2 + len(powers)))
+    for at, rows in _windows(x, t):
+        n = (~np.isnan(rows)).sum(1).astype(np.float64)
+        mean, d = _centred(rows, n)
+        for o, v in zip(out, (n, mean, *((d * d if p == 2 else d**p).sum(1) for p in powers)), strict=True):
+            o[at] = np.where(n >= least, v, NAN)
+    return out
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of squares of deviations of x and y, and of their products, in each window of t pairs without a gap."""
     both = np.isfinite(x) & np.isfinite(y)
-    a, b = pd.Series(np.where(both, x, NAN)), pd.Series(np.where(both, y, NAN))
-    r = lambda s: s.rolling(t, min_periods=t)
-    spread = np.sqrt(r(a).var(ddof=0).to_numpy() * r(b).var(ddof=0).to_numpy())
+    out = tuple(np.full(len(x), NAN) for _ in range(3))
+    for (at, a), (_, b) in zip(_windows(np.where(both, x, NAN), t), _windows(np.where(both, y, NAN), t), strict=True):
+        n = (~np.isnan(a)).sum(1).astype(np.float64)
+        d, e = _centred(a, n)[1], _centred(b, n)[1]
+        for o, v in zip(out, (d * d, e * e, d * e), strict=True):
+            o[at] = np.where(n == t, v.sum(1), NAN)
+    return out
+
+
+def _corr(x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
+    a, b, c = _pairs(x, y, t)
+    spread = np.sqrt(a) * np.sqrt(b)
     with np.errstate(all="ignore"):
-        return np.where(spread > 0, r(a).cov(b, ddof=0).to_numpy() / spread, NAN)
+        return np.where(spread > 0, c / spread, NAN)
 
 
 def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
@@ -89,12 +129,13 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
         if op in ("ma", "ts_sum", "ts_min", "ts_max", "ts_med"):
             return getattr(r(), {"ma": "mean", "ts_sum": "sum", "ts_min": "min", "ts_max": "max", "ts_med": "median"}[op])().to_numpy()
         if op == "ts_std":
-            return r().std(ddof=0).to_numpy()
+            return np.sqrt(_moments(f, t, t, 2)[2] / t)
         if op == "ts_vari":
-            return r().var(ddof=0).to_numpy()
+            return _moments(f, t, t, 2)[2] / t
         if op == "ts_zscore":
-            deviation = r().std(ddof=0).to_numpy()
-            return np.where(deviation >= EPS, (f - r().mean().to_numpy()) / (deviation + EPS), NAN)
+            _, mean, square = _moments(f, t, t, 2)
+            deviation = np.sqrt(square / t)
+            return np.where(deviation >= EPS, (f - mean) / (deviation + EPS), NAN)
         if op == "ts_minmax_diff":
             return (r(1).max() - r(1).min()).to_numpy()
         if op == "ts_max_diff":
@@ -104,12 +145,16 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
         if op in ("ts_skew", "ts_kurt"):
             if t < 3 + (op == "ts_kurt"):
                 return f * NAN
-            spread = (r().max() - r().min()).to_numpy()
-            got = (r().skew() if op == "ts_skew" else r().kurt()).to_numpy()
-            return np.where(spread > 0, got, np.where(spread == 0, 0.0 if op == "ts_skew" else NAN, NAN))
+            _, _, square, high = _moments(f, t, t, 2, 3 if op == "ts_skew" else 4)
+            if op == "ts_skew":
+                got = t * np.sqrt(t - 1.0) / (t - 2) * high / square**1.5
+            else:
+                got = (t - 1.0) / ((t - 2) * (t - 3)) * ((t + 1) * t * high / square**2 - 3 * (t - 1))
+            return np.where(square > 0, got, np.where(square == 0, 0.0 if op == "ts_skew" else NAN, NAN))
         if op == "ts_ir":
             least = max(2, t // 2)
-            return _div(r(least).mean().to_numpy(), r(least).std().to_numpy() + EPS)
+            n, mean, square = _moments(f, t, least, 2)
+            return _div(mean, np.sqrt(square / (n - 1)) + EPS)
         if op == "ts_wma":
             out = np.full(len(f), NAN)
             if len(f) >= t:
@@ -124,9 +169,7 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
         if op == "corr":
             return _corr(x, args[1], t) if t >= 2 else f * NAN
         if op == "cov":
-            both = np.isfinite(x) & np.isfinite(args[1])
-            a, b = pd.Series(np.where(both, x, NAN)), pd.Series(np.where(both, args[1], NAN))
-            return a.rolling(t, min_periods=t).cov(b).to_numpy() if t >= 2 else f * NAN
+            return _pairs(x, args[1], t)[2] / (t - 1) if t >= 2 else f * NAN
         if op == "autocorr":
             return _corr(f, _shift(f, e.lag), t) if t >= 2 and e.lag >= 1 else f * NAN
         if op == "autocorr_double":
@@ -135,7 +178,7 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
             old = pd.Series(_shift(f, e.lag))
             q = lambda v: v.rolling(t, min_periods=t)
             top = q((s - q(s).mean()) * (old - q(old).mean())).mean().to_numpy()
-            a, b = q(s).std().to_numpy(), q(old).std().to_numpy()
+            a, b = (np.sqrt(_moments(v.to_numpy(), t, t, 2)[2] / (t - 1)) for v in (s, old))
             return np.where((a > 0) & (b > 0), top / (a * b), NAN)
     raise NotImplementedError(op)
 
@@ -148,17 +191,12 @@ def _medians(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_mad(x: np.ndarray, t: int, least: int) -> np.ndarray:
-    """Median distance from the median in each window of t rows with ``least`` values; about 4 million values at a time."""
+    """Median distance from the median in each window of t rows with ``least`` values."""
     out = np.full(len(x), NAN)
-    if not len(x) or t < 1:
-        return out
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(t - 1, NAN), x]), t)
-    step = max(1, (1 << 22) // t)
-    for a in range(0, len(x), step):
-        rows = windows[a : a + step]
+    for at, rows in _windows(x, t) if t >= 1 else ():
         middle, n = _medians(rows)
         far, _ = _medians(np.abs(rows - middle[:, None]))
-        out[a : a + step] = np.where(n >= least, far, NAN)
+        out[at] = np.where(n >= least, far, NAN)
     return out
 
 

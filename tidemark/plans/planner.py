@@ -11,17 +11,30 @@ from tidemark.operators import arrow, native
 from tidemark.plans.expr import Expr
 from tidemark.plans.slicing import sliced
 
-#: Windows beyond which frames that Spark recomputes from scratch for each row lose to one pass of kernels.
-LONG = 60
-_COSTLY = frozenset({"ts_med", "ts_mad", "ts_mad_window", "ts_rank"})
+#: Frames of these that have at most so many rows cost no more than the pass through Arrow; Spark computes each
+#: row's frame from scratch, so longer ones, and those of all other operators, lose to one pass of kernels.
+SHORT = 30
+_LIGHT = frozenset({"ma", "ts_sum", "ts_std", "ts_vari", "ts_min", "ts_max", "ts_zscore", "ts_wma", "ts_minmax_diff", "ts_max_diff", "ts_min_diff", "ts_ir"})
+_SHIFTS = frozenset({"delay", "ts_diff", "ts_pct"})
+#: Rows of a key's slice, where its series is longer and the plan's own estimate is beyond so many bytes.
+SLICE_ROWS, BIG = 2_000_000, 1 << 30
 
 
 def choose(exprs: Mapping[str, Expr]) -> str:
-    """"native" for a few cheap frames, "arrow" for recursions, long costly frames and large sets of factors."""
-    nodes = {n for e in exprs.values() for n in e.nodes() if n.rolling}
-    if any(n.op == "ema" for n in nodes) or len(nodes) > 24:
-        return "arrow"
-    return "arrow" if any(n.op in _COSTLY and n.window > LONG for n in nodes) else "native"
+    """"native" for elementwise expressions, shifts and up to four short light frames, else "arrow"."""
+    nodes = {n for e in exprs.values() for n in e.nodes() if n.rolling and n.op not in _SHIFTS}
+    return "native" if len(nodes) <= 4 and all(n.op in _LIGHT and n.window <= SHORT for n in nodes) else "arrow"
+
+
+def slices(df: DataFrame, keys: list[str]) -> int:
+    """Rows to a slice for df, 0 if its series needn't be cut.
+
+    The estimate comes with the plan; only beyond ``BIG`` bytes are the keys' rows counted.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BIG:
+        return 0
+    longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return SLICE_ROWS if (longest or 0) > SLICE_ROWS else 0
 
 
 def compute(
@@ -35,7 +48,7 @@ def compute(
 
     slice_rows deals a key's rows to tasks of so many rows each, with the rows that values look back on in front,
     so that one very long series doesn't sit in one task. Averages that recur reach back further than a double
-    can tell (see ``slicing``).
+    can tell (see ``slicing``). Without it, ``slices`` decides; 0 never cuts.
 
     precision "single" rounds every node's result to single precision, as engines do that hold floats.
     """
@@ -49,6 +62,8 @@ def compute(
             raise ValueError(f"inputs are missing: {', '.join(missing)}")
         df = df.withColumns({i: F.lit(None).cast("double") for i in missing})
     strategy, groups = strategy or ("arrow" if precision == "single" else choose(exprs)), keys
+    if slice_rows is None:
+        slice_rows = slices(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), keys)
     if slice_rows:
         df = sliced(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), exprs, keys, order, slice_rows)
         groups = [*keys, "_slice"]

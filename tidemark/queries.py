@@ -80,6 +80,8 @@ for _n, _e in _OPERATORS.items():
     _add(f"operator_{_n}", {"v": _e}, series, SERIES, "series")
 for _n in ("ma", "ts_std", "ts_rank", "corr", "ts_skew", "ts_med", "ts_wma", "cov", "ts_kurt", "ts_mad", "autocorr_double"):
     _add(f"arrow_{_n}", {"v": _OPERATORS[_n]}, series, SERIES, "series", "arrow")
+for _n in ("ma", "ts_rank", "ts_zscore", "corr", "autocorr", "ts_skew", "ts_kurt", "ts_med", "ts_mad", "cov", "ts_ir"):
+    _add(f"native_{_n}", {"v": _OPERATORS[_n]}, series, SERIES, "series", "native")
 
 #: Products of ranks are short decimals, and many lie halfway between two numbers of six digits.
 _DIGITS = {"0003": 10, "0015": 10, "0019": 10, "0022": 10}
@@ -91,10 +93,15 @@ for _n, _e in _registry.build_group("okx_perp").items():
 def factor_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All factors in one pass, in long form."""
     wide = planner.compute(bars(spark, sf_dir), {f"f_{k}": e for k, e in _registry.build_group("okx_perp").items()})
-    return planner.long_form(wide, [c for c in wide.columns if c.startswith("f_")]).withColumn("value", F.round("value", DIGITS) + 0.0)
+    long = planner.long_form(wide, [c for c in wide.columns if c.startswith("f_")])
+    fine = F.col("factor_id").isin([f"f_{k}" for k in _DIGITS])
+    return long.withColumn("value", F.when(fine, F.round("value", 10)).otherwise(F.round("value", DIGITS)) + 0.0)
 
 
 QUERIES["factor_bank"] = factor_bank
+ORACLES["factor_bank"] = " union all ".join(
+    f"select symbol, ts, seq, 'f_{_n}' as factor_id, v as value from ({ORACLES[f'factor_{_n}']})" for _n in _registry.build_group("okx_perp")
+)
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
