@@ -2,11 +2,13 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts, and a small network learns to tell from a
 vector the parts in which its neighbours lie. It puts every row into its most probable part, and sends a query
-to several; there the query's distances to all rows are computed in full.
+to several. Parts that are still large are cut again in the same way, each by a network of its own; so the rows
+that a query meets grow slower than the table. In the last parts its distances to all rows are computed in full.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import CROWD, cut, table
 
-#: The partition is learned from so many rows at most; it never has more parts than that.
+#: A partition is learned from so many rows at most; a level has no more parts than that.
 SAMPLE, MOST_PARTS = 8192, 64
+#: Parts of more rows than this are cut again, at most so many times; what is larger then is dealt in blocks.
+LEAF, LEVELS = 4096, 6
 #: Neighbours in the graph; recall among the sample for which the number of probed parts is set.
 DEGREE, AIM = 10, 0.98
 #: Larger parts, and more queries to a part, are dealt in blocks of this many rows.
 ROW_BLOCK, QUERY_BLOCK = 16384, 2048
+#: A list of parts, 12 bytes each, is broadcast up to this length.
+LISTED = 100_000
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -133,47 +139,88 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest rows found, by Euclidean distance in doubles.
+def _thinned(rows: DataFrame, k: int) -> DataFrame:
+    """rows without those that no query can have among its k nearest: of a vector of more than max(CROWD, a thousandth)
+    of all rows the k + 1 smallest ids stay, each k times at most. Fewer than 1000 vectors are that common."""
+    key = [F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(1)).alias("g")]
+    counts = rows.select(*key).groupBy("h", "g").agg(F.count("*").alias("of")).where(F.col("of") > CROWD)
+    counts = cut(counts)
+    if counts.isEmpty():
+        return rows
+    hot = F.broadcast(counts.where(F.col("of") > max(CROWD, rows.count() // 1000)).select("h", "g"))
+    own = rows.select("id", "v", *key)
+    few = own.join(hot, ["h", "g"]).groupBy("h", "g", "id").agg(F.count("*").alias("n"), F.any_value("v").alias("v"))
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("rank") <= k + 1)
+    again = first.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))))
+    return own.join(hot, ["h", "g"], "left_anti").select("id", "v").unionByName(again.select("id", "v"))
 
-    Rows with the query's id are no candidates. Ties go to the smaller id; a query with fewer candidates gets
-    all that are found. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do rows without id or with another number of dimensions than most of the sample. Of queries with equal
-    ids the first by vector counts; a row that occurs twice is found once for each. Every row is indexed. An
-    empty table gives an empty result. The sample is chosen by a hash of the id, so reruns agree.
-    """
-    out = "query_id long, vec_id long, score double"
-    pick = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    rows, queries = pick(rows), pick(queries)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    spark = rows.sparkSession
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(v) for v in sample]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.array([v for v in sample if len(v) == dim], np.float64)
-    router = learn(x, int(min(MOST_PARTS, max(1, len(x) // 128))))
-    rows, queries = (df.where(F.size("v") == dim) for df in (rows, queries))
 
-    def routed(probes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = _vectors(batch.column(1), dim)
-                best = np.argsort(-router.scores(v), axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(len(v)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["part", "id", "v"])
+def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """part and number of blocks, of parts that have several."""
+    several = cut(df.groupBy("part").agg(F.ceil(F.count("*") / size).cast("long").alias(name)).where(F.col(name) > 1))
+    return F.broadcast(several) if several.count() <= LISTED else several
 
-        return run
 
-    index = cut(rows.mapInArrow(routed(1), "part int, id long, v array<double>"))
-    first = queries.groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(first.mapInArrow(routed(router.probes), "part int, id long, v array<double>"))
-    filled = {r["part"]: max(1, -(-r["n"] // ROW_BLOCK)) for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # MOST_PARTS rows
-    wanted = {r["part"]: max(1, -(-r["n"] // QUERY_BLOCK)) for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    count = lambda of: F.coalesce(F.get(F.array(*(F.lit(of.get(p, 1)) for p in range(MOST_PARTS))), F.col("part")), F.lit(1))
-    blocks, batches_of = count(filled), count(wanted)
-    left = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("queries", F.explode(F.sequence(F.lit(0), batches_of - 1)))
-    right = asked.withColumn("queries", F.pmod(F.xxhash64("id", F.lit(1)), batches_of).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+def _dealt(df: DataFrame, several: DataFrame, name: str) -> DataFrame:
+    return df.join(several, "part", "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long")))
+
+
+def _block(n: str) -> F.Column:
+    return F.pmod(F.xxhash64("id", "v"), F.col(n))
+
+
+def _every(n: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+_ROUTED = "part long, id long, v array<double>"
+
+
+def _parted(router: Router, probes: int, v: np.ndarray, part: np.ndarray, ids: pa.Array, column: pa.Array) -> pa.Table:
+    """A row for each probed part of each vector; a part's number is a hash of its path."""
+    best = np.argsort(-router.scores(v), axis=1, kind="stable")[:, :probes]
+    at = pa.array(np.repeat(np.arange(len(v)), best.shape[1]))
+    below = (part.astype(np.int64) * 1000003 + best.ravel().astype(np.int64) + 1) if len(v) else np.zeros(0, np.int64)
+    return pa.table({"part": pa.array(below), "id": ids.take(at), "v": column.take(at)})
+
+
+def _split(rows: DataFrame, models: DataFrame, all_probes: bool, dim: int) -> DataFrame:
+    """Rows of parts that have a model, put into that part's parts, blocks of a part in tasks of their own."""
+    several = _blocks(rows, ROW_BLOCK, "blocks")
+    left = _dealt(rows, several, "blocks").withColumn("block", _block("blocks")).select("part", "block", "id", "v")
+    right = _dealt(models, several, "blocks").select("part", _every("blocks").alias("block"), "model")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"part": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+        router, column = pickle.loads(b.column("model")[0].as_py()), a.column("v").combine_chunks()
+        probes = router.probes if all_probes else 1
+        part = np.repeat(a.column("part").to_numpy(), min(probes, router.w2.shape[1]))
+        return _parted(router, probes, _vectors(column, dim), part, a.column("id").combine_chunks(), column)
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _ROUTED)
+
+
+def _models(rows: DataFrame, dim: int, leaf: int) -> DataFrame:
+    """part, model: a router for each part, learned from a sample of its rows by a hash of their ids."""
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("part").orderBy(F.xxhash64("id", F.lit(5)), "id", "v")
+    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).join(sizes, "part")
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, n = _vectors(t.sort_by("rank").column("v").combine_chunks(), dim), t.column("n")[0].as_py()
+        parts = int(min(MOST_PARTS, max(2, 2 * n // leaf), max(2, len(x) // 64)))
+        return pa.table({"part": t.column("part").slice(0, 1), "model": pa.array([pickle.dumps(learn(x, parts))], pa.binary())})
+
+    return sample.select("part", "rank", "v", "n").groupBy("part").applyInArrow(fit, "part long, model binary")
+
+
+def _searched(index: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest rows of each query in each block of its parts."""
+    filled, wanted = _blocks(index, ROW_BLOCK, "blocks"), _blocks(asked, QUERY_BLOCK, "batches")
+    both = lambda df: _dealt(_dealt(df, filled, "blocks"), wanted, "batches")
+    left = both(index).select("part", _block("blocks").alias("block"), "id", "v", _every("batches").alias("queries"))
+    right = both(asked).select("part", _every("blocks").alias("block"), "id", "v", _block("batches").alias("queries"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, asked_ids = a.column("id").to_numpy(), b.column("id").to_numpy()
@@ -198,7 +245,62 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
         return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), got, strict=True)})
 
     keys = ["part", "block", "queries"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, out)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", leaf: int = LEAF) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest rows found, by Euclidean distance in doubles.
+
+    Rows with the query's id are no candidates. Ties go to the smaller id; a query with fewer candidates than k gets
+    them all, and one whose parts hold fewer is compared with all rows, in blocks. Vectors that are null, empty, zero,
+    or hold null or non-finite components take no part, nor do rows without id or with another number of dimensions
+    than most of the sample. Of queries with equal ids the first by vector counts; a row that occurs twice is found
+    once for each. Every row is indexed; of very common vectors those that can be found (see ``_thinned``). An empty
+    table gives an empty result. Samples are chosen by a hash of the id, so reruns agree.
+    """
+    pick = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    rows, queries = pick(rows), pick(queries)
+    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").toPandas()["v"].tolist()
+    if not sample:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = [len(v) for v in sample]
+    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
+    x = np.array([v for v in sample if len(v) == dim], np.float64)
+    router = learn(x, int(min(MOST_PARTS, max(1, len(x) // 128))))
+    rows, queries = (df.where(F.size("v") == dim) for df in (rows, queries))
+
+    def routed(probes: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _vectors(batch.column(1), dim)
+                zero = np.zeros(len(v) * min(probes, router.w2.shape[1]), np.int64)
+                yield from _parted(router, probes, v, zero, batch.column(0), batch.column(1)).to_batches()
+
+        return run
+
+    index = cut(_thinned(rows, k).mapInArrow(routed(1), _ROUTED))
+    first = queries.groupBy("id").agg(F.min("v").alias("v"))
+    asked = cut(first.mapInArrow(routed(router.probes), _ROUTED))
+    done, seen = [], []
+    for _ in range(LEVELS):
+        large = cut(index.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("part"))
+        n = large.count()
+        if not n:
+            break
+        large = F.broadcast(large) if n <= LISTED else large
+        models = cut(_models(index.join(large, "part"), dim, leaf))
+        done.append(index.join(large, "part", "left_anti"))
+        seen.append(asked.join(large, "part", "left_anti"))
+        index, asked = cut(_split(index.join(large, "part"), models, False, dim)), cut(_split(asked.join(large, "part"), models, True, dim))
+    for more in done:
+        index = index.unionByName(more)
+    for more in seen:
+        asked = asked.unionByName(more)
+    found = cut(_searched(index, asked, k, dim))
+    short = cut(first.join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), F.col("id") == F.col("query_id"), "left_anti"))
+    if not short.isEmpty():
+        whole = lambda df: df.withColumn("part", F.lit(0).cast("long"))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_searched(whole(index), whole(short), k, dim))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
