@@ -10,6 +10,9 @@ import pytest
 from tidemark.operators import arrow
 from tidemark.plans import planner
 from tidemark.plans import expr as X
+from tidemark.plans.slicing import lookback
+
+NAN = float("nan")
 
 EPS = 1e-8
 T = 5
@@ -250,3 +253,15 @@ def test_extreme_pairs_leave_no_trace():
     for e in (X.corr(X.x, X.y, 30), X.cov(X.x, X.y, 30)):
         after, alone = (arrow.evaluate({"v": e}, {"x": x[k:], "y": y[k:]})["v"][60 - k :] for k in (0, 30))
         assert np.allclose(after, alone, rtol=1e-12, atol=0)
+
+
+def test_sample_moments_and_carried_averages():
+    x = np.array([1.0, 4.0, NAN, 2.0, 8.0, 5.0, 7.0, NAN, NAN, 3.0, 1.0, 2.0])
+    s = pd.Series(x)
+    got = arrow.evaluate({"s": X.ts_std(X.x, 3, 1), "v": X.ts_vari(X.x, 3, 1), "c": X.ema(X.x, 3, "carry")}, {"x": x})
+    np.testing.assert_allclose(got["s"], s.rolling(3).std(), rtol=1e-12)
+    np.testing.assert_allclose(got["v"], s.rolling(3).var(), rtol=1e-12)
+    np.testing.assert_allclose(got["c"], s.ewm(span=3, adjust=False, min_periods=3).mean(), rtol=1e-12)
+    for bad in (lambda: X.ts_std(X.x, 3, 3), lambda: X.ema(X.x, 3, "skip"), lambda: lookback(X.ema(X.x, 3, "carry"))):
+        with pytest.raises(ValueError):
+            bad()

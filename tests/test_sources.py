@@ -180,3 +180,54 @@ def test_a_failing_tick_is_left_out(spark, tmp_path):
     q.processAllAvailable()
     assert q.isActive and len(seen) >= 2 and len(set(seen)) == len(seen)
     q.stop()
+
+
+def test_engine_of_trades_and_books(spark, tmp_path):
+    from tidemark.streaming.engine import ndjson_sink
+    from tidemark.streaming.facade import Engine, SignalEngine
+
+    bars = simulate(spark, ["A", "B"], 12, seed=9)
+    trades = spark.createDataFrame([(s, k, k, 10.0 + k, 1.0, 1.0) for s in "AB" for k in range(7)], "symbol string, ts long, seq long, px double, sz double, side double")
+    books = spark.createDataFrame([("A", k, k, [1.0], [2.0], [3.0], [None]) for k in range(5)], "symbol string, ts long, seq long, bid_px array<double>, bid_sz array<double>, ask_px array<double>, ask_sz array<double>")
+    streams = {}
+    for name, df in (("bars", bars), ("trades", trades), ("books", books)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        streams[name] = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
+    e = SignalEngine(["A"], {"m": ma(close, 3)})
+    run = Engine(spark, e, f"{tmp_path}/engine")
+    run.start(**streams)
+    run.wait()
+    assert (run.trade_count("A"), run.book_count("A"), run.book_count("B"), run.bar_count("B")) == (7, 5, 0, 12)
+    assert run.get_trade_data(["B"], 3).count() == 3 and {r.seq for r in run.get_book_data(limit=2).collect()} == {3, 4}
+    assert run.output_by_id("none").first()["value"] is None and run.output_by_id("m").first()["value"] == run.get_factor_outputs().first()["m"]
+    run.trades.write_ndjson(f"{tmp_path}/lines", ["A"])
+    assert spark.read.json(f"{tmp_path}/lines").count() == 7
+    for _ in range(2):  # a second run of the sink writes nothing twice
+        ndjson_sink(streams["books"], f"{tmp_path}/json", f"{tmp_path}/json_state").awaitTermination()
+    assert sorted(r.seq for r in spark.read.json(f"{tmp_path}/json").collect()) == [0, 1, 2, 3, 4]
+    assert e.run_batch(bars).count() == 12
+    with pytest.raises(Exception, match="unknown symbol B"):
+        e.run_batch(bars, unknown="error").count()
+    with pytest.raises(ValueError):
+        e.run_batch(bars, unknown="other")
+
+
+def test_factor_of_an_array(spark):
+    rows = spark.createDataFrame([("A", k, k, float(k), 2.0) for k in range(10)] + [("B", 0, 0, float("nan"), 1.0)], "symbol string, ts long, seq long, px double, sz double").repartition(3)
+    last = micro.TickFactor("slope", "trades", 4, micro.of_array(lambda a: a[-1, 0] - a[0, 0] + len(a) * a[0, 1], "px", "sz"))
+    got = {r.symbol: r.slope for r in micro.snapshot({"trades": rows}, (last,)).collect()}
+    assert got == {"A": 3.0 + 4 * 2.0, "B": 0.0}
+
+
+def test_registry_scans_a_package(tmp_path, monkeypatch):
+    from tidemark.functions import registry
+    from tidemark.functions.registry import FactorRegistry
+
+    monkeypatch.setattr(registry, "_registered", dict(registry._registered))  # other tests count what is registered
+    (tmp_path / "plugged" / "deep").mkdir(parents=True)
+    for f in ("__init__.py", "deep/__init__.py"):
+        (tmp_path / "plugged" / f).write_text("")
+    (tmp_path / "plugged" / "deep" / "one.py").write_text("from tidemark.functions.registry import register_factor\nfrom tidemark.plans.expr import close\nregister_factor('plugged', '9001')(lambda: close)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for _ in range(2):
+        assert FactorRegistry().load_package("plugged").factor_ids() == ["9001"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,23 @@ def book_imbalance(levels: int) -> Column:
     return F.coalesce(F.when(bid + ask != 0, (bid - ask) / (bid + ask)), F.lit(0.0))
 
 
+def of_array(fn: Callable[[np.ndarray], float], *fields: str) -> Callable[[], Column]:
+    """A factor's value by a function of a (rows, fields) array, the window's rows in (ts, seq) order.
+
+    A missing value is NaN, a result that isn't finite is taken as 0. The array has the factor's window of rows at most.
+    """
+
+    def value() -> Column:
+        def run(ts: pd.Series, seq: pd.Series, *columns: pd.Series) -> float:
+            rows = np.column_stack([c.to_numpy(np.float64) for c in columns])[np.lexsort((seq, ts))]
+            got = float(fn(rows))
+            return got if np.isfinite(got) else 0.0
+
+        return F.pandas_udf(run, "double")("ts", "seq", *fields)
+
+    return value
+
+
 @dataclass(frozen=True)
 class TickFactor:
     """An aggregate over the last ``window`` rows of a source."""

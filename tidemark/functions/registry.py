@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import pkgutil
 from collections.abc import Callable
 
 from tidemark.plans.expr import Expr
@@ -38,6 +39,15 @@ class FactorRegistry:
         self._groups.add(group)
         return self
 
+    def load_package(self, package: str) -> FactorRegistry:
+        """Import every module of a package, with those below it, and take the groups that they register."""
+        before, root = set(_registered), importlib.import_module(package)
+        for m in pkgutil.walk_packages(getattr(root, "__path__", []), f"{package}."):
+            importlib.import_module(m.name)
+        inside = (package, f"{package}.")
+        self._groups |= {g for (g, _), build in _registered.items() if (g, _) not in before or build.__module__ == inside[0] or build.__module__.startswith(inside[1])}
+        return self
+
     def load_all(self) -> FactorRegistry:
         for group in MODULES:
             self.load_group(group)

@@ -124,6 +124,8 @@ def kernel(e: Expr, args: list[np.ndarray]) -> np.ndarray:
         r = lambda least=t: s.rolling(t, min_periods=least)
         if op == "ema":
             return ema(f, t)
+        if op == "ema_carry":
+            return s.ewm(span=t, adjust=False, min_periods=t).mean().to_numpy()
         if op == "ts_rank":
             return f * NAN if t == 0 else f * 0.0 if t == 1 else r().rank(pct=True).to_numpy()
         if op in ("ma", "ts_sum", "ts_min", "ts_max", "ts_med"):

@@ -6,6 +6,7 @@ sub-expressions compare equal, so a planner computes each of them once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -15,8 +16,10 @@ UNARY = frozenset({"neg", "abs", "log", "sqr", "inv", "sign", "tanh", "slog1p"})
 BINARY = frozenset({"add", "sub", "mul", "div"})
 #: Operators of one series and a window.
 ROLLING = frozenset(
-    "ma ts_sum ts_std ts_vari ema ts_min ts_max ts_rank ts_zscore delay ts_diff ts_pct ts_minmax_diff ts_skew ts_kurt ts_med ts_mad ts_mad_window ts_wma ts_max_diff ts_min_diff ts_ir".split()
+    "ma ts_sum ts_std ts_vari ema ema_carry ts_min ts_max ts_rank ts_zscore delay ts_diff ts_pct ts_minmax_diff ts_skew ts_kurt ts_med ts_mad ts_mad_window ts_wma ts_max_diff ts_min_diff ts_ir".split()
 )
+#: Those that build on their own last value; they have no window frame.
+RECURSIVE = frozenset({"ema", "ema_carry"})
 PAIRED = frozenset({"corr", "cov"})
 LAGGED = frozenset({"autocorr", "autocorr_double"})
 
@@ -160,13 +163,38 @@ def _rolling(op: str):
 
 
 neg, abs_, log, sqr, inv, sign, tanh, slog1p = map(_unary, ("neg", "abs", "log", "sqr", "inv", "sign", "tanh", "slog1p"))
-ma, ts_sum, ts_std, ts_vari, ema, ts_min, ts_max = map(_rolling, ("ma", "ts_sum", "ts_std", "ts_vari", "ema", "ts_min", "ts_max"))
+ma, ts_sum, ts_min, ts_max = map(_rolling, ("ma", "ts_sum", "ts_min", "ts_max"))
 ts_rank, ts_zscore, delay, ts_diff, ts_pct = map(_rolling, ("ts_rank", "ts_zscore", "delay", "ts_diff", "ts_pct"))
 ts_minmax_diff, ts_skew, ts_kurt, ts_med, ts_mad = map(_rolling, ("ts_minmax_diff", "ts_skew", "ts_kurt", "ts_med", "ts_mad"))
 ts_mad_window, ts_wma, ts_max_diff, ts_min_diff, ts_ir = map(_rolling, ("ts_mad_window", "ts_wma", "ts_max_diff", "ts_min_diff", "ts_ir"))
 pct_change = ts_pct
 
 
+def _scale(t: int, ddof: int) -> float:
+    if not 0 <= ddof < t:
+        raise ValueError(f"ddof {ddof!r} with window {t!r}")
+    return t / (t - ddof)
+
+
+def ts_vari(a: Expr, t: int, ddof: int = 0) -> Expr:
+    """Variance over t bars, divided by t - ddof."""
+    e = Expr("ts_vari", (as_expr(a),), t)
+    return e * _scale(t, ddof) if ddof else e
+
+
+def ts_std(a: Expr, t: int, ddof: int = 0) -> Expr:
+    """Root of the variance over t bars, divided by t - ddof."""
+    e = Expr("ts_std", (as_expr(a),), t)
+    return e * math.sqrt(_scale(t, ddof)) if ddof else e
+
+
+def ema(a: Expr, t: int, on_null: str = "restart") -> Expr:
+    """a = 2 / (t + 1). After a missing value it starts anew, or ("carry") goes on with the weights decayed."""
+    if on_null not in ("restart", "carry"):
+        raise ValueError(f"on_null must be restart or carry, not {on_null!r}")
+    return Expr("ema" if on_null == "restart" else "ema_carry", (as_expr(a),), t)
+
+
 def treap_ts_rank(a: Expr, t: int) -> Expr:
     """The rank by another algorithm elsewhere; here the same expression, the executor picks the algorithm."""
     return ts_rank(a, t)

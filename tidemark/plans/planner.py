@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import arrow, native
-from tidemark.plans.expr import Expr
+from tidemark.plans.expr import RECURSIVE, Expr
 from tidemark.plans.slicing import sliced
 
 #: Frames of these that have at most so many rows cost no more than the pass through Arrow; Spark computes each
@@ -62,14 +62,14 @@ def compute(
             raise ValueError(f"inputs are missing: {', '.join(missing)}")
         df = df.withColumns({i: F.lit(None).cast("double") for i in missing})
     strategy, groups = strategy or ("arrow" if precision == "single" else choose(exprs)), keys
-    if slice_rows is None:
+    if slice_rows is None and not any(n.op == "ema_carry" for e in exprs.values() for n in e.nodes()):
         slice_rows = slices(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), keys)
     if slice_rows:
         df = sliced(df.select(*dict.fromkeys([*keys, *order, *arrow.inputs_of(exprs)])), exprs, keys, order, slice_rows)
         groups = [*keys, "_slice"]
     extra = ["_lead"] if slice_rows else []
     if strategy == "native":
-        if any(n.op == "ema" for e in exprs.values() for n in e.nodes()):
+        if any(n.op in RECURSIVE for e in exprs.values() for n in e.nodes()):
             raise ValueError("ema is recursive and has no window frame; use the arrow strategy")
         out = native.lower(df.select(*dict.fromkeys([*groups, *order, *arrow.inputs_of(exprs), *extra])), exprs, groups, order).select(*groups, *order, *extra, *exprs)
     elif strategy == "arrow":

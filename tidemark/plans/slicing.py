@@ -15,6 +15,8 @@ EMA_SPANS = 20
 
 def lookback(e: Expr) -> int:
     """Rows before a bar that its value depends on; for ema those whose weight shows in a double."""
+    if e.op == "ema_carry":
+        raise ValueError("an average that carries over missing values looks back without bound")
     below = max((lookback(a) for a in e.args), default=0)
     if e.op == "ema":
         return below + (EMA_SPANS + 1) * e.window

@@ -74,6 +74,7 @@ _OPERATORS: dict[str, Expr] = {
     "ts_rank_long": ts_rank(x, 240), "treap_ts_rank": treap_ts_rank(x, 120), "ts_zscore": ts_zscore(x, 30), "delay": delay(x, 7), "ts_diff": ts_diff(x, 7), "ts_pct": ts_pct(x, 7),
     "corr": corr(x, y, 30), "autocorr": autocorr(x, 60, 5), "autocorr_double": autocorr_double(x, 30, 5), "ts_minmax_diff": ts_minmax_diff(log(_A), 30), "ts_skew": ts_skew(x, 30),
     "ts_med": ts_med(x, 30), "ts_mad": ts_mad(log(_A), 20), "ts_mad_window": ts_mad_window(x, 30), "ts_wma": ts_wma(x, 30), "ts_max_diff": ts_max_diff(log(_A), 30), "ts_min_diff": ts_min_diff(log(_A), 30),
+    "ts_std_sample": ts_std(x, 30, 1), "ts_vari_sample": ts_vari(x, 30, 1),
     "ts_kurt": ts_kurt(x, 30), "cov": cov(x, y, 30), "ts_ir": ts_ir(log(_A), 30),
 }
 for _n, _e in _OPERATORS.items():
@@ -139,6 +140,37 @@ QUERIES["candles_parsed"] = _candles
 ORACLES["candles_parsed"] = f"with {TICKS} select symbol, count(*) as n, round(sum(price), 4) as total, min(epoch_us(ts) // 1000) as first_ms, sum(size) as vol from ticks where seq % 7 <> 0 group by symbol"
 
 
+def _trades_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks written as trade messages and parsed again; a third of them are buys."""
+    t = ticks(spark, sf_dir)
+    side = F.when(F.col("seq") % 3 == 0, "buy").otherwise("sell")
+    data = F.struct(F.col("price").cast("string").alias("px"), F.col("size").cast("string").alias("sz"), side.alias("side"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ts"), F.col("seq").cast("string").alias("tradeId"))
+    raw = t.select(F.to_json(F.struct(F.struct(F.lit("trades").alias("channel"), F.col("symbol").alias("instId")).alias("arg"), F.array(data).alias("data"))).alias("json"))
+    got = bar_sources.parse_trades(raw).groupBy("symbol")
+    return got.agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.round(F.sum(F.col("sz") * F.col("side")), 4).alias("net"), F.round(F.sum("px"), 4).alias("total"), F.min(F.unix_millis("ts")).alias("first_ms"))
+
+
+QUERIES["trades_parsed"] = _trades_parsed
+ORACLES["trades_parsed"] = f"""with {TICKS} select symbol, count(*) as n, max(seq) as last_seq, round(sum(size * case when seq % 3 = 0 then 1.0 else -1.0 end), 4) as net, round(sum(price), 4) as total,
+min(epoch_us(ts) // 1000) as first_ms from ticks group by symbol"""
+
+
+def _books_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks written as book messages of two levels and parsed again; one in seven has no asks and is left out."""
+    t = ticks(spark, sf_dir)
+    level = lambda shift: F.array((F.col("price") + shift).cast("string"), (F.col("size") + abs(shift)).cast("string"))
+    asks = F.when(F.col("seq") % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(level(1.0), level(2.0)))
+    data = F.struct(F.array(level(-1.0), level(-2.0)).alias("bids"), asks.alias("asks"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ts"), F.col("seq").alias("seqId"))
+    raw = t.select(F.to_json(F.struct(F.struct(F.lit("books5").alias("channel"), F.col("symbol").alias("instId")).alias("arg"), F.array(data).alias("data"))).alias("json"))
+    got = bar_sources.parse_books(raw).groupBy("symbol")
+    third = F.sum(F.get("bid_px", 2).isNull().cast("long"))
+    return got.agg(F.count("*").alias("n"), F.round(F.sum(F.get("ask_px", 1) - F.get("bid_px", 0)), 4).alias("spread"), F.sum(F.get("bid_sz", 1)).alias("second"), third.alias("without_third"))
+
+
+QUERIES["books_parsed"] = _books_parsed
+ORACLES["books_parsed"] = f"with {TICKS} select symbol, count(*) as n, round(sum((price + 2.0) - (price - 1.0)), 4) as spread, sum(size + 2.0) as second, count(*) as without_third from ticks where seq % 7 <> 0 group by symbol"
+
+
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = _time_bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("value"))
     return _rounded(cross.rank(cross.zscore(hourly)).select("symbol", "ts", "zscore", "rank"), ["zscore", "rank"])

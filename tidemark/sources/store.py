@@ -33,5 +33,9 @@ class Store:
     def latest(self, symbols: list[str] | None = None) -> DataFrame:
         return latest(self.read(symbols))
 
+    def write_ndjson(self, path: str, symbols: list[str] | None = None) -> None:
+        """One JSON object a line, nulls too, for other tools."""
+        self.read(symbols).write.mode("append").option("ignoreNullFields", "false").json(path)
+
     def counts(self) -> DataFrame:
         return self.read().groupBy("symbol").agg(F.count("*").alias("n"))

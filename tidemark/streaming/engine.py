@@ -13,6 +13,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.arrow import evaluate, inputs_of
@@ -97,6 +98,12 @@ def stream_factors(bars: DataFrame, exprs: Mapping[str, Expr], raw: bool = False
     return wanted.groupBy("symbol").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def ndjson_sink(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream's rows as one JSON object a line, each exactly once."""
+    out = rows.writeStream.format("json").option("ignoreNullFields", "false").option("path", path).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the session names for checkpoints; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -52,23 +52,30 @@ class SignalEngine:
     def warmup(self) -> int:
         return max((e.warmup() for e in self._factors.values()), default=0)
 
-    def _own(self, bars: DataFrame) -> DataFrame:
+    def _own(self, bars: DataFrame, unknown: str = "ignore") -> DataFrame:
         if not self._factors:
             raise ValueError("there are no factors")
-        return bars.where(F.col("symbol").isin(self._symbols))
+        if unknown not in ("ignore", "error"):
+            raise ValueError(f"unknown must be ignore or error, not {unknown!r}")
+        ours = F.coalesce(F.col("symbol").isin(self._symbols), F.lit(False))
+        if unknown == "error":
+            ours = F.when(ours, True).otherwise(F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("symbol", F.lit("NULL")))).cast("boolean"))
+        return bars.where(ours)
 
-    def run_batch(self, bars: DataFrame, **options) -> DataFrame:
-        return planner.compute(self._own(bars), self._factors, **options)
+    def run_batch(self, bars: DataFrame, unknown: str = "ignore", **options) -> DataFrame:
+        """Factors of a table. Rows of unknown symbols are left out, or ("error") fail the query that meets them."""
+        return planner.compute(self._own(bars, unknown), self._factors, **options)
 
-    def run_stream(self, bars: DataFrame, raw: bool = False) -> DataFrame:
-        return stream_factors(self._own(bars), self._factors, raw)
+    def run_stream(self, bars: DataFrame, raw: bool = False, unknown: str = "ignore") -> DataFrame:
+        return stream_factors(self._own(bars, unknown), self._factors, raw)
 
     def latest(self, bars: DataFrame, **options) -> DataFrame:
         return planner.latest(self.run_batch(bars, **options))
 
 
 class Engine:
-    """A stream of bars kept in a store, and its factors beside it, under one folder that all executors see.
+    """Streams of bars, trades and books kept in stores, and the bars' factors beside them, under one folder that all
+    executors see.
 
     Starting again with the same folder goes on where the last run ended, in a new process too. ``reset`` begins a new
     run, with a state, a store and factors of its own; the folders of earlier runs stay as they are.
@@ -82,11 +89,12 @@ class Engine:
         self._enter(max((int(f.getPath().getName()) for f in self._files.listStatus(path)), default=0) if self._files.exists(path) else 0)
 
     def _enter(self, run: int) -> None:
-        self._run, self.bars = run, Store(self.spark, f"{self.folder}/runs/{run}/bars", "bars", self.window)
+        self._run = run
+        self.bars, self.trades, self.books = (Store(self.spark, f"{self.folder}/runs/{run}/{kind}", kind, self.window if kind == "bars" else None) for kind in ("bars", "trades", "books"))
         self._files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs/{run}"))
 
-    def start(self, bars: DataFrame, **trigger) -> list[StreamingQuery]:
-        """Two queries: bars to the store, factors to theirs. trigger: as of ``DataStreamWriter.trigger``."""
+    def start(self, bars: DataFrame, trades: DataFrame | None = None, books: DataFrame | None = None, **trigger) -> list[StreamingQuery]:
+        """A query for each stream to its store, and one for the factors. trigger: as of ``DataStreamWriter.trigger``."""
         if any(q.isActive for q in self._queries):
             raise RuntimeError("it runs already")
         trigger = trigger or {"availableNow": True}
@@ -94,7 +102,8 @@ class Engine:
         def sink(df: DataFrame, name: str) -> StreamingQuery:
             return df.writeStream.format("parquet").partitionBy("symbol").option("path", f"{self.folder}/runs/{self._run}/{name}").option("checkpointLocation", f"{self.folder}/runs/{self._run}/state/{name}").trigger(**trigger).start()
 
-        self._queries = [sink(bars, "bars"), sink(self.engine.run_stream(bars), "factors")]
+        given = {"bars": bars, "factors": self.engine.run_stream(bars), "trades": trades, "books": books}
+        self._queries = [sink(df, name) for name, df in given.items() if df is not None]
         return self._queries
 
     def wait(self) -> None:
@@ -115,6 +124,17 @@ class Engine:
     def get_data(self, symbols: list[str] | None = None, limit: int | None = None) -> DataFrame:
         return self.bars.snapshot(symbols, limit)
 
+    def get_trade_data(self, symbols: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        return self.trades.snapshot(symbols, limit)
+
+    def get_book_data(self, symbols: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        return self.books.snapshot(symbols, limit)
+
+    def output_by_id(self, factor_id: str, symbols: list[str] | None = None) -> DataFrame:
+        """(symbol, value) of the latest bars; NULL for a factor that isn't there."""
+        value = F.col(factor_id) if factor_id in self.engine.factor_ids else F.lit(None).cast("double")
+        return self.get_factor_outputs(symbols).select("symbol", value.alias("value"))
+
     def get_factor_outputs(self, symbols: list[str] | None = None) -> DataFrame:
         """The latest values of each symbol."""
         out = self._outputs()
@@ -138,3 +158,9 @@ class Engine:
 
     def bar_count(self, symbol: str) -> int:
         return self.bars.read([symbol]).count()
+
+    def trade_count(self, symbol: str) -> int:
+        return self.trades.read([symbol]).count()
+
+    def book_count(self, symbol: str) -> int:
+        return self.books.read([symbol]).count()
