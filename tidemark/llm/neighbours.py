@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,6 +216,20 @@ def _models(rows: DataFrame, dim: int, leaf: int) -> DataFrame:
     return sample.select("part", "rank", "v", "n").groupBy("part").applyInArrow(fit, "part long, model binary")
 
 
+def _first_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The commonest number of dimensions of a sample, and a router learned from its vectors of that many."""
+    held = [b.column(0) for b in batches if b.num_rows]
+    if not held:
+        return
+    column = pa.chunked_array(held).combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    values, counts = np.unique(sizes, return_counts=True)
+    dim = int(values[np.lexsort((values, counts))[-1]])
+    x = _vectors(column.filter(pa.array(sizes == dim)), dim)
+    model = pickle.dumps(learn(x, int(min(MOST_PARTS, max(1, len(x) // 128)))))
+    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([model], pa.binary())], ["dim", "model"])
+
+
 def _searched(index: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest rows of each query in each block of its parts."""
     filled, wanted = _blocks(index, ROW_BLOCK, "blocks"), _blocks(asked, QUERY_BLOCK, "batches")
@@ -260,13 +275,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
     """
     pick = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
     rows, queries = pick(rows), pick(queries)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    if not sample:
+    first_model = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").mapInArrow(_first_model, "dim int, model binary").first()
+    if first_model is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(v) for v in sample]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.array([v for v in sample if len(v) == dim], np.float64)
-    router = learn(x, int(min(MOST_PARTS, max(1, len(x) // 128))))
+    dim, router = first_model["dim"], pickle.loads(first_model["model"])
     rows, queries = (df.where(F.size("v") == dim) for df in (rows, queries))
 
     def routed(probes: int):
