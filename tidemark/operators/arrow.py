@@ -41,8 +41,8 @@ def _shift(x: np.ndarray, t: int) -> np.ndarray:
 
 
 def _windows(x: np.ndarray, t: int) -> Iterator[tuple[slice, np.ndarray]]:
-    """Windows of t rows that end at each row, missing values before the first; about 4 million values at a time."""
-    step = max(1, (1 << 22) // t)
+    """Windows of t rows that end at each row, missing values before the first; as many at a time as a cache holds."""
+    step = max(1, (1 << 16) // t)
     whole = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(t - 1, NAN), x]), t) if len(x) else np.zeros((0, t))
     for a in range(0, len(x), step):
         yield slice(a, a + step), whole[a : a + step]
@@ -50,10 +50,12 @@ def _windows(x: np.ndarray, t: int) -> Iterator[tuple[slice, np.ndarray]]:
 
 def _centred(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means of rows, and the values less their row's mean, 0 for missing ones; exactly 0 in a row of equal values."""
-    pivot = np.nan_to_num(np.fmax.reduce(rows, axis=1))
-    near = np.nan_to_num(rows - pivot[:, None])
+    whole = bool((n == rows.shape[1]).all())
+    pivot = rows[:, -1] if whole else np.nan_to_num(np.fmax.reduce(rows, axis=1))
+    near = rows - pivot[:, None] if whole else np.nan_to_num(rows - pivot[:, None])
     mean = near.sum(1) / n
-    return pivot + mean, np.where(np.isnan(rows), 0.0, near - mean[:, None])
+    near -= mean[:, None]
+    return pivot + mean, near if whole else np.where(np.isnan(rows), 0.0, near)
 
 
 def _moments(x: np.ndarray, t: int, least: int, *powers: int) -> tuple[np.ndarray, ...]:
