@@ -29,7 +29,7 @@ def fingerprints(docs: DataFrame, run: int, long_line: int) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(SPACES)).alias("x")))
     full = F.transform(
         F.filter(lines, lambda s: s["x"] != ""),
-        lambda s, k: F.struct(s["i"].alias("i"), (k + 1).alias("k"), F.xxhash64(s["x"]).alias("h"), F.when(F.regexp_count(s["x"], F.lit(WORD)) >= long_line, F.xxhash64(s["x"], F.lit("line"))).alias("long")),
+        lambda s, k: F.struct(s["i"].alias("i"), (k + 1).alias("k"), F.xxhash64(s["x"]).alias("h"), F.when(F.regexp_count(s["x"], F.lit(WORD)) >= long_line, F.xxhash64(F.lit("line"), s["x"])).alias("long")),
     )
     rows = docs.select("doc_id", "same", full.alias("lines")).where(F.size("lines") > 0)
     minima = F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - run + 1, F.lit(1))), lambda s: _least(F.slice("lines", s, run)))

@@ -44,7 +44,7 @@ _KEY = ["hash", "more", "doc_id", "source"]
 
 
 def _named(doc_id: Column, source: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("hash"), F.xxhash64(text, F.lit(1)).alias("more"), doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source")]
+    return [F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("more"), doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source")]
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:

@@ -143,7 +143,7 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def _thinned(rows: DataFrame, k: int) -> DataFrame:
     """rows without those that no query can have among its k nearest: of a vector of more than max(CROWD, a thousandth)
     of all rows the k + 1 smallest ids stay, each k times at most. Fewer than 1000 vectors are that common."""
-    key = [F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(1)).alias("g")]
+    key = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
     counts = rows.select(*key).groupBy("h", "g").agg(F.count("*").alias("of")).where(F.col("of") > CROWD)
     counts = cut(counts)
     if counts.isEmpty():
